@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import components, dedup, neighbours, overlap
+from graphloom.llm import components, dedup, neighbours, overlap, packing, pieces, tokens
 from graphloom.storage import table
 
 
@@ -38,4 +38,20 @@ def p6_splits(spark, d):
     return components.assign_splits(table(spark, d, "canonical_interaction"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_nearest, p4_found, p4_collapsed, p6_found, p6_splits)}
+def p8_ids(spark, d):
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p9_containers(spark, d):
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p10_found(spark, d):
+    return pieces.found(table(spark, d, "documents"))
+
+
+def p10_pieces(spark, d):
+    return pieces.pieces(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_nearest, p4_found, p4_collapsed, p6_found, p6_splits, p8_ids, p9_containers, p10_found, p10_pieces)}
