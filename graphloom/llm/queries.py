@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import components, dedup, neighbours, overlap, packing, pieces, tokens
+from graphloom.llm import canonical, components, dedup, neighbours, overlap, packing, pieces, tokens
 from graphloom.storage import table
 
 
@@ -38,6 +38,14 @@ def p6_splits(spark, d):
     return components.assign_splits(table(spark, d, "canonical_interaction"))
 
 
+def p7_found(spark, d):
+    return canonical.found(table(spark, d, "brenda"), table(spark, d, "ref_ligand"))
+
+
+def p7_unmatched(spark, d):
+    return canonical.unmatched(table(spark, d, "brenda"), table(spark, d, "ref_ligand"))
+
+
 def p8_ids(spark, d):
     return tokens.encode(table(spark, d, "documents"))
 
@@ -54,4 +62,4 @@ def p10_pieces(spark, d):
     return pieces.pieces(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_nearest, p4_found, p4_collapsed, p6_found, p6_splits, p8_ids, p9_containers, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_nearest, p4_found, p4_collapsed, p6_found, p6_splits, p7_found, p7_unmatched, p8_ids, p9_containers, p10_found, p10_pieces)}
