@@ -34,7 +34,8 @@ def tier(size: int, capacity: int) -> int:
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
     """Patterns (how many containers, [(size, texts of it a container, rank of the first text), ...]) that hold all texts.
 
-    Sizes are from 1 to capacity. Each pattern uses up at least one size, so there are no more patterns than sizes.
+    Sizes are from 1 to capacity. Each pattern leaves fewer texts of one of its sizes than it holds of it, so the number of patterns
+    depends on the sizes (in practice as many as there are sizes), not on the number of texts.
     """
     left = {s: n for s, n in counts.items() if n > 0}
     used = dict.fromkeys(left, 0)
