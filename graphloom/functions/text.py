@@ -13,13 +13,14 @@ RESIDUES = "AC-IK-Z"
 
 def stripped(c: Column) -> Column:
     """Without white space at both ends; blank gives null."""
-    return F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    t = F.btrim(c, F.lit(" \t\n\r\f\x0b"))
+    return F.when(t != "", t)
 
 
 def plain_id(c: Column) -> Column:
     """A trimmed id; a whole number that became a float is a whole number again. Blank gives null."""
     t = stripped(c)
-    return F.when(t.rlike(r"^[0-9]+\.0+$"), F.regexp_replace(t, r"\.0+$", "")).otherwise(t)
+    return F.when(t.endswith(".0") & t.rlike(r"^[0-9]+\.0+$"), F.regexp_replace(t, r"\.0+$", "")).otherwise(t)
 
 
 def id_number(c: Column) -> Column:

@@ -29,8 +29,8 @@ def canonical(edges: DataFrame) -> DataFrame:
     """Turns each edge so that the end with the lower priority number comes first; ends of equal priority are ordered as text. Scores and sources stay."""
     ps, pt = priority(F.col("source_type")), priority(F.col("target_type"))
     swap = F.coalesce((ps > pt) | ((ps == pt) & (F.col("source_id") > F.col("target_id"))), F.lit(False))
-    turned = {a: F.when(swap, F.col(b)).otherwise(F.col(a)) for x, y in (("source_id", "target_id"), ("source_type", "target_type")) for a, b in ((x, y), (y, x))}
-    return edges.withColumns(turned)
+    turned = {a: F.when(F.col("_swap"), F.col(b)).otherwise(F.col(a)) for x, y in (("source_id", "target_id"), ("source_type", "target_type")) for a, b in ((x, y), (y, x))}
+    return edges.withColumn("_swap", swap).withColumns(turned).drop("_swap")
 
 
 def sources_of(c: Column) -> Column:

@@ -21,14 +21,14 @@ from graphloom.operators import similarity as V
 from graphloom.operators import splits as X
 from graphloom.schema import KINDS, RELATIONS, UNKNOWN_PRIORITY, priority
 from graphloom.sources.sinks import missing
-from graphloom.storage import materialize, table
+from graphloom.storage import materialize, spread, table
 
 SEED = 514
 FOLDS = 5
 
 
 def raw(spark, d):
-    return E.normalized(table(spark, d, "canonical_interaction"))
+    return E.normalized(spread(table(spark, d, "canonical_interaction").drop("score_note", "split_name", "recorded_at", "loaded_at"), "interaction_id", factor=1))
 
 
 def merged(spark, d):

@@ -57,17 +57,16 @@ PROTEINS = tuple(k for k, v in KINDS.items() if v.metatype in ("protein", "gene"
 RELATIONS = ("interacts_with", "inhibits", "catalyzes", "physical_association")
 
 
+def _lookup(values: dict[str, object], kind: Column) -> Column:
+    """A value by name from a literal map, which keeps generated code small however often it is used."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), kind)
+
+
 def priority(kind: Column) -> Column:
     """The priority of an entity type; unknown and null types come last."""
-    out = F.lit(UNKNOWN_PRIORITY)
-    for name, k in KINDS.items():
-        out = F.when(kind == name, F.lit(k.priority)).otherwise(out)
-    return out
+    return F.coalesce(_lookup({name: k.priority for name, k in KINDS.items()}, kind), F.lit(UNKNOWN_PRIORITY))
 
 
 def metatype(kind: Column) -> Column:
     """`molecule`, `protein` (genes count as proteins here), another metatype, or null for an unknown type."""
-    out = F.lit(None).cast("string")
-    for name, k in KINDS.items():
-        out = F.when(kind == name, F.lit("protein" if k.metatype == "gene" else k.metatype)).otherwise(out)
-    return out
+    return _lookup({name: "protein" if k.metatype == "gene" else k.metatype for name, k in KINDS.items()}, kind)
