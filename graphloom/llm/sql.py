@@ -1,3 +1,33 @@
-"""SQL of the training-data queries that SQL can express."""
+"""SQL of the training-data queries that SQL can express, for DuckDB."""
 
-SQL: dict[str, str] = {}
+
+def _entity(c: str) -> str:
+    bare = f"regexp_replace({c}, '[^\\p{{L}}\\p{{Nd}}.]+', '', 'g')"
+    whole = f"regexp_replace({bare}, '^([\\p{{Nd}}.]*\\p{{Nd}})\\.0\\.*$', '\\1')"
+    return f"nullif(upper(replace({whole}, '.', '')), '')"
+
+
+def _alnum(c: str) -> str:
+    return f"nullif(upper(regexp_replace({c}, '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')), '')"
+
+
+_FORMS = f"""forms as (select interaction_id as id, least(s, t) as a, greatest(s, t) as b, rel, split, source from (select interaction_id, {_entity('source_id')} as s, {_entity('target_id')} as t,
+ {_alnum('relation_type')} as rel, nullif(lower(trim(split_name)), '') as split, nullif(lower(trim(source_dataset)), '') as source from canonical_interaction) where s is not null and t is not null)"""
+_COPIES = f"with {_FORMS}, g as (select id, min(id) over w as keep_id, count(*) over w as n from forms where rel is not null window w as (partition by a, b, rel))"
+_PAIRS = f"""with {_FORMS}, ends as (select id, a as x, b as y, split, source from forms union select id, b, a, split, source from forms), hit as (select distinct e.id as e, t.id as t, min(levenshtein(e.y, t.y)) as d
+ from ends e join ends t on e.x = t.x where e.split in ('valid', 'test') and t.split = 'train' and levenshtein(e.y, t.y) <= 1 group by e.id, t.id)"""
+_VECTORS = """v as (select id, list_transform(f, lambda x: x / sqrt(list_inner_product(f, f))) as f from (select global_id as id, list_transform(features, lambda x: coalesce(x, 0)::double) as f from node_features
+ where len(features) = 48 and len(list_filter(features, lambda x: x is null or isnan(x) or isinf(x))) = 0) where list_inner_product(f, f) > 0)"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"{_PAIRS} select distinct least(e, t) as id_a, greatest(e, t) as id_b from hit",
+    "p1_report": f"""{_PAIRS}, best as (select e, min(d) as d from hit group by e) select split as split_name, source as source_dataset, count(*) as n_rows, count(*) filter (where d = 0) as n_exact, count(*) filter (where d = 1) as n_near
+ from forms left join best on e = id where split in ('valid', 'test') group by split, source""",
+    "p3_found": f"""with {_VECTORS}, s as (select a.id as x, b.id as y, list_inner_product(a.f, b.f) as c from v a join v b on a.id <> b.id), r as (select *, row_number() over (partition by x order by round(c, 6) desc, y) as r from s)
+ select distinct least(x, y) as id_a, greatest(x, y) as id_b from r where r <= 5 and c >= 0.9""",
+    "p4_found": f"{_COPIES} select keep_id, id as copy_id from g where id <> keep_id",
+    "p4_collapsed": f"{_COPIES} select interaction_id as keep_id, coalesce(n, 1) as n_copies from canonical_interaction left join g on id = interaction_id where keep_id is null or keep_id = interaction_id",
+    "p6_found": f"""with recursive raw as (select {_entity('source_id')} as s, {_entity('target_id')} as t from canonical_interaction), links as (select s as u, t as v from raw where s is not null and t is not null union select t, s from raw where s is not null and t is not null),
+ alone as (select u from (select s as u from raw union select t from raw) where u is not null), walk(node, root) using key (node) as (select u, u from alone union select l.u, min(w.root) from links l join walk w on l.v = w.node join recurring.walk r on r.node = l.u where w.root < r.root group by l.u)
+ select node as entity_id, root as group_id from walk""",
+}
