@@ -52,6 +52,10 @@ def _grams(name: Column) -> Column:
     return F.array_distinct(F.concat(of(2), of(3)))
 
 
+def _edits_accepted(length: Column) -> Column:
+    return F.greatest(F.lit(EDITS), F.floor(length * EDIT_SHARE))
+
+
 def reference_names(reference: DataFrame) -> DataFrame:
     """`cid`, `ref`: each name and synonym in its normal form, once an entry; null names and entries without id drop out."""
     names = reference.where("cid is not null").select("cid", F.explode(F.concat(F.array("ligand_name"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("n"))
@@ -61,21 +65,24 @@ def reference_names(reference: DataFrame) -> DataFrame:
 def closest(names: DataFrame, reference: DataFrame) -> DataFrame:
     """`name`, `cid`, `score`, `edits` of each distinct normal name in column `name`; cid 0 where no entry is accepted.
 
-    A name equal to entries' names maps to the smallest of their cids. Cosine ties go to fewer edits, then the smaller cid.
+    A name equal to entries' names maps to the smallest of their cids. Ties go to fewer edits, then the higher cosine, then the smaller cid.
+    Only reference names whose length is within the edits accepted are candidates, so the margin is to the best other entry that could be meant.
     """
     refs = materialize(reference_names(reference))
     n_refs = refs.select("ref").distinct().count()
     listed = materialize(refs.select("ref").distinct().withColumn("ref_id", F.monotonically_increasing_id()))
-    grams = listed.select("ref_id", F.explode(_grams(F.col("ref"))).alias("gram"))
+    grams = listed.select("ref_id", F.length("ref").alias("ref_length"), F.explode(_grams(F.col("ref"))).alias("gram"))
     idf = grams.groupBy("gram").agg((F.log(F.lit(1.0 + n_refs) / F.count(F.lit(1)))).alias("w"))
     weighed = grams.join(idf, "gram")
     norms = weighed.groupBy("ref_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ref_norm"))
-    index = materialize(weighed.join(norms, "ref_id").select("gram", "ref_id", "w", (F.col("w") * F.col("w") / F.col("ref_norm")).alias("share")))
+    index = materialize(weighed.join(norms, "ref_id").select("gram", "ref_id", "ref_length", "w", (F.col("w") * F.col("w") / F.col("ref_norm")).alias("share")))
     typed = materialize(names.select("name").where("name is not null").distinct())
     exact = typed.join(refs.groupBy("ref").agg(F.min("cid").alias("cid")), F.col("name") == F.col("ref")).select("name", "cid", F.lit(1.0).alias("score"), F.lit(0).alias("edits"))
     open_names = materialize(spread(typed.join(exact, "name", "left_anti"), "name").withColumn("name_id", F.monotonically_increasing_id()))
-    asked = open_names.select("name_id", F.explode(_grams(F.col("name"))).alias("gram"))
-    dots = asked.join(index, "gram").groupBy("name_id", "ref_id").agg(F.sum("share").alias("dot"))
+    asked = open_names.select("name_id", F.length("name").alias("length"), F.explode(_grams(F.col("name"))).alias("gram"))
+    # Lengths that differ by more than the edits accepted rule a pair out before it is scored.
+    within = F.abs(F.col("length") - F.col("ref_length")) <= _edits_accepted(F.col("ref_length"))
+    dots = asked.join(index, "gram").where(within).groupBy("name_id", "ref_id").agg(F.sum("share").alias("dot"))
     # Grams the list lacks count as the rarest.
     rarest = F.log(F.lit(1.0 + n_refs))
     norm = asked.join(idf, "gram", "left").groupBy("name_id").agg(F.sqrt(F.sum(F.coalesce(F.col("w") * F.col("w"), rarest * rarest))).alias("norm"))
@@ -88,7 +95,7 @@ def closest(names: DataFrame, reference: DataFrame) -> DataFrame:
     ranked = entries.select("*", F.row_number().over(order).alias("r"), F.max("score").over(W.partitionBy("name")).alias("top"), F.lead("edits").over(order).alias("next_edits"), F.lead("score").over(order).alias("next_score"))
     first = ranked.where("r = 1")
     clear = (F.col("score") - F.coalesce("next_score", F.lit(0.0)) >= MARGIN) | (F.col("edits") < F.coalesce("next_edits", F.lit(1 << 30)))
-    near = F.col("edits") <= F.greatest(F.lit(EDITS), F.floor(F.col("length") * EDIT_SHARE))
+    near = F.col("edits") <= _edits_accepted(F.col("length"))
     accepted = first.where((F.col("score") >= THRESHOLD) & clear & near).select("name", "cid", "score", "edits")
     rest = open_names.join(accepted, "name", "left").select("name", F.coalesce("cid", F.lit(0)).alias("cid"), "score", "edits")
     return exact.unionByName(rest)
