@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import encoder, vocabulary_path
-from graphloom.llm.tokens import groups
+from graphloom.llm.tokens import slices
 from graphloom.storage import materialize, spread
 
 RANGE, HALO = 16_384, 2_048
@@ -71,11 +71,9 @@ def _tokenize(path: str, size: int):
 
         sync, work = regex.compile(_SYNC), encoder(path)
         for batch in batches:
-            parts = batch.column("part").to_pylist()
-            for a, b in groups(parts):
-                sub = batch.slice(a, b - a)
+            for sub, parts in slices(batch, "part"):
                 words, after, is_open = [], [], []
-                for before, part, no, final in zip(sub.column("before").to_pylist(), parts[a:b], sub.column("range_no").to_pylist(), sub.column("final").to_pylist()):
+                for before, part, no, final in zip(sub.column("before").to_pylist(), parts, sub.column("range_no").to_pylist(), sub.column("final").to_pylist()):
                     text, skip = before + part, len(before)
                     begin, end = 0, len(text)
                     if no:

@@ -16,6 +16,15 @@ from graphloom.storage import spread
 ROWS, CHARACTERS = 256, 2_000_000
 
 
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Parts of a batch with the texts of a column: never more than ROWS rows as Python strings at a time, and fewer if they are long."""
+    for i in range(0, batch.num_rows, ROWS):
+        part = batch.slice(i, ROWS)
+        texts = part.column(column).to_pylist()
+        for a, b in groups(texts):
+            yield part.slice(a, b - a), texts[a:b]
+
+
 def groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, t in enumerate(texts):
@@ -37,13 +46,12 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = encoder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in groups(texts):
-                ids = work.encode(texts[a:b])
-                ends = np.zeros(b - a + 1, dtype=np.int32)
+            for part, texts in slices(batch, "text"):
+                ids = work.encode(texts)
+                ends = np.zeros(len(texts) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in ids], out=ends[1:])
                 flat = np.fromiter((i for x in ids for i in x), dtype=np.int64, count=int(ends[-1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
 
     return spread(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), "doc_id").mapInArrow(run, "doc_id bigint, ids array<bigint>")
 
@@ -55,11 +63,10 @@ def sizes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = encoder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in groups(texts):
-                words = [work.split(t) if t else [] for t in texts[a:b]]
+            for part, texts in slices(batch, "text"):
+                words = [work.split(t) if t else [] for t in texts]
                 known = work.learn(words)
                 n = [sum(len(known[w]) for w in x) for x in words]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return spread(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), "doc_id").mapInArrow(run, "doc_id bigint, n_tokens bigint")
