@@ -1,4 +1,4 @@
-"""Queries of the engine's own operators, each with the SQL that gives the same rows.
+"""Queries of the engine's own operators, each with the SQL that gives the same rows (README names the few whose SQL gives less).
 
 They run over whole tables: canonical_interaction as raw edges, entity_manifest, bindingdb, node_features and embeddings as they are.
 """
@@ -455,8 +455,8 @@ _LOCAL = "loc as (select global_id, row_number() over (order by case when node_t
 
 
 def _local(spark, d):
-    half = table(spark, d, "node_features").where("global_id % 2 = 0")  # the nodes of a fold
-    return G.local_ids(half.select("global_id", (F.col("node_type") == "molecule").alias("is_molecule"))).select("global_id", "local_id")
+    nodes = table(spark, d, "node_features").where("global_id is not null")
+    return G.local_ids(nodes.select("global_id", (F.col("node_type") == "molecule").alias("is_molecule"))).select("global_id", "local_id")
 
 
 @query(f"with {_LOCAL} select global_id, local_id from loc")
