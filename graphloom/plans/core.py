@@ -323,9 +323,7 @@ def cold_kfold(spark, d):
     f" ((row_number() over (partition by target_id order by {_md5('warm', 'source_id', 'target_id', 'relation_type')}) - 1 + cast('0x' || substr({_md5('turn', 'target_id')}, 1, 8) as bigint)) % 5 + 1)::integer as fold from big"
 )
 def warm_kfold(spark, d):
-    m = materialize(merged(spark, d))
-    often = m.groupBy("target_id").count().where("count >= 5").select("target_id")
-    return X.warm_folds(materialize(m.join(often, "target_id", "left_semi")), FOLDS, SEED).select("source_id", "target_id", "relation_type", "fold")
+    return X.warm_folds(materialize(merged(spark, d)), FOLDS, SEED).select("source_id", "target_id", "relation_type", "fold")
 
 
 @query(f"with {MERGED} select {_KEYS}, row_number() over (order by {_md5('single', 'source_id', 'target_id', 'relation_type')}) - 1 < ceil(count(*) over () * 0.2) as is_test from m")

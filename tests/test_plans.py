@@ -26,3 +26,18 @@ def test_local_ids_and_fold_edges_keep_odd_nodes(spark, tables):
     d = tables([("D1", "P1"), ("D2", "P2"), ("D3", "P1"), ("D3", "P9")], node_features=(nodes, NODES))
     assert {r.global_id: r.local_id for r in core.local_ids(spark, d).collect()} == {1: 0, 3: 1, 5: 2, 2: 3, 4: 4}
     assert {(r.source, r.target) for r in core.fold_edges(spark, d).collect()} == {(0, 3), (1, 4), (2, 3)}  # P9 is no node
+
+
+def test_warm_kfold_gives_every_edge_a_fold(spark, tables):
+    d = tables([(f"D{i}", "P1") for i in range(12)] + [("D1", "P2"), ("D2", "P3")])
+    got = core.warm_kfold(spark, d).collect()
+    assert len({(r.source_id, r.target_id) for r in got}) == len(got) == 14
+    assert sorted(sum(r.fold == k for r in got) for k in range(1, 6)) == [2, 3, 3, 3, 3]
+
+
+def test_warm_kfold_deals_the_edges_of_each_target(spark, tables):
+    d = tables([(f"D{i}", t) for t, n in (("P1", 10), ("P2", 6)) for i in range(n)])
+    got = core.warm_kfold(spark, d).collect()
+    assert len(got) == 16
+    assert [sum(r.fold == k and r.target_id == "P1" for r in got) for k in range(1, 6)] == [2] * 5
+    assert sorted(sum(r.fold == k and r.target_id == "P2" for r in got) for k in range(1, 6)) == [1, 1, 1, 1, 2]
