@@ -96,3 +96,10 @@ def with_logic_ids(edges: DataFrame, ids: DataFrame, strict: bool = True) -> Dat
     out = edges.join(a, "source_id", how).join(b, "target_id", how)
     known = lambda c, i: F.coalesce(F.col(c), F.raise_error(F.concat(F.lit("no id for entity "), F.coalesce(F.col(i), F.lit("null")))).cast("bigint")).alias(c) if strict else F.col(c)
     return out.select(known("source", "source_id"), known("target", "target_id"), "relation_type", "source_dataset", F.coalesce("raw_score", F.lit(1.0)).alias("score"))
+
+
+def with_known_ids(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """`source`, `target`, `relation_type` of every edge, in dense ids (columns entity_id, global_id of `ids`); an end without an id is null."""
+    a = ids.select(F.col("entity_id").alias("source_id"), F.col("global_id").alias("source"))
+    b = ids.select(F.col("entity_id").alias("target_id"), F.col("global_id").alias("target"))
+    return edges.join(a, "source_id", "left").join(b, "target_id", "left").select("source", "target", "relation_type")

@@ -73,9 +73,9 @@ def group_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def graph_health(edges: DataFrame, nodes: int, features: DataFrame) -> DataFrame:
-    """`part`, `problems`: edges by type whose ends lie outside 0..nodes-1, and vectors by node type that hold null, NaN or infinite numbers."""
+    """`part`, `problems`: edges by type with an end that is null or lies outside 0..nodes-1, and vectors by node type that hold null, NaN or infinite numbers."""
     out_of = (F.col("source") < 0) | (F.col("target") < 0) | (F.col("source") >= nodes) | (F.col("target") >= nodes)
-    a = edges.groupBy(F.concat(F.lit("edges "), F.coalesce("edge_type", F.lit("null"))).alias("part")).agg(F.count(F.when(out_of, 1)).alias("problems"))
+    a = edges.groupBy(F.concat(F.lit("edges "), F.coalesce("edge_type", F.lit("null"))).alias("part")).agg(F.count(F.when(F.coalesce(out_of, F.lit(True)), 1)).alias("problems"))
     bad = F.col("features").isNull() | F.exists("features", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     b = features.groupBy(F.concat(F.lit("features "), F.coalesce("node_type", F.lit("null"))).alias("part")).agg(F.count(F.when(bad, 1)).alias("problems"))
     return a.unionByName(b)

@@ -545,9 +545,10 @@ def group_statistics(spark, d):
 
 @query("select 'features ' || coalesce(node_type, 'null') as part, count(*) filter (where features is null or len(list_filter(features, lambda x: x is null or isnan(x) or isinf(x))) > 0) as problems from node_features group by node_type")
 def graph_health(spark, d):
-    none = spark.createDataFrame([], "source bigint, target bigint, edge_type string")
-    f = table(spark, d, "node_features")
-    return R.graph_health(none, 0, f)
+    m = materialize(merged(spark, d))
+    ids = materialize(N.logic_ids(N.manifest(m)))
+    edges = E.with_known_ids(m, ids).withColumnRenamed("relation_type", "edge_type")
+    return R.graph_health(edges, ids.count(), table(spark, d, "node_features"))
 
 
 @query(f"with {RAW}, ids as (select source_id as entity_id from raw union select target_id from raw) select entity_id from ids where entity_id is not null and entity_id not in (select entity_id from entity_manifest)")

@@ -2,6 +2,8 @@
 
 import pytest
 
+from graphloom.operators import edges as E
+from graphloom.operators import reports as R
 from graphloom.plans import core
 
 
@@ -41,3 +43,15 @@ def test_warm_kfold_deals_the_edges_of_each_target(spark, tables):
     assert len(got) == 16
     assert [sum(r.fold == k and r.target_id == "P1" for r in got) for k in range(1, 6)] == [2] * 5
     assert sorted(sum(r.fold == k and r.target_id == "P2" for r in got) for k in range(1, 6)) == [1, 1, 1, 1, 2]
+
+
+def test_graph_health_reports_on_edges(spark, tables):
+    d = tables([("D1", "P1"), ("D2", "P1"), ("D2", "P2", "inhibits")], node_features=([(1, "D1", "molecule", [float("nan")])], NODES))
+    assert {r.part: r.problems for r in core.graph_health(spark, d).collect()} == {"edges interacts_with": 0, "edges inhibits": 0, "features molecule": 1}
+
+
+def test_ends_without_a_node_are_problems(spark, make_edges):
+    ids = spark.createDataFrame([("D1", 0), ("P1", 1)], "entity_id string, global_id bigint")
+    edges = E.with_known_ids(make_edges([("D1", "P1"), ("D1", "P2"), ("D3", "P1")]), ids).withColumnRenamed("relation_type", "edge_type")
+    none = spark.createDataFrame([], NODES)
+    assert [tuple(r) for r in R.graph_health(edges, 2, none).collect()] == [("edges interacts_with", 2)]
