@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.ranking import hash_order, hash_rank, sorted_rank
 from graphloom.storage import materialize
 
-ATTEMPTS = 10
+log = logging.getLogger(__name__)
+
+#: Draws for a positive in the first round, and for each positive on average in all rounds.
+ATTEMPTS, BUDGET = 10, 100
+#: Draws of a positive that are formed as one array.
+RUN = 1000
 
 
 def train_labels(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -22,22 +29,41 @@ def negatives(positives: DataFrame, sources: DataFrame, targets: DataFrame, know
     """`source_id`, `target_id`: at most one negative for each positive, from the pools (column entity_id), in neither direction among `known` (source_id, target_id).
 
     Draws are hashes of (seed, fold, number of the positive, attempt, side), so they repeat on any cluster; pairs may repeat. The first attempt that is not
-    a known positive counts. If all attempts of a positive fail there is none for it, so the result may be smaller than `positives`. Empty pools give an empty result.
+    a known positive counts. Positives whose attempts all fail draw again in further rounds, until each has a negative or BUDGET draws for each of all positives
+    are spent; only then is the result smaller than `positives`, which is logged as a warning. Empty pools give an empty result.
     """
     s, t = (materialize(sorted_rank(p.select("entity_id").distinct(), F.col("entity_id"), name="i")) for p in (sources, targets))
     ns, nt = s.count(), t.count()
     if not ns or not nt:
         return positives.select("source_id", "target_id").limit(0)
     rows = positives.select("source_id", "target_id").withColumn("_h", hash_order(seed, "negative", F.col("source_id"), F.col("target_id")))
-    number = hash_rank(rows, "_h", ties=("source_id", "target_id"), name="r").select("r", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("a"))
-    draw = lambda side, n: F.conv(F.substring(hash_order(seed, side, F.lit(fold), F.col("r"), F.col("a")), 1, 8), 16, 10).cast("bigint") % n
-    tries = number.withColumn("si", draw("source", ns)).withColumn("ti", draw("target", nt))
-    pairs = tries.join(s.select(F.col("i").alias("si"), F.col("entity_id").alias("source_id")), "si").join(t.select(F.col("i").alias("ti"), F.col("entity_id").alias("target_id")), "ti")
-    pairs = pairs.select("r", "a", "source_id", "target_id", F.least("source_id", "target_id").alias("x"), F.greatest("source_id", "target_id").alias("y"))
+    number = materialize(hash_rank(rows, "_h", ties=("source_id", "target_id"), name="r").select("r"))
     taken = known.select(F.least("source_id", "target_id").alias("x"), F.greatest("source_id", "target_id").alias("y")).distinct()
-    free = pairs.join(taken, ["x", "y"], "left_anti")
-    first = free.groupBy("r").agg(F.min(F.struct("a", "source_id", "target_id")).alias("m"))
-    return first.select("m.source_id", "m.target_id")
+    draw = lambda side, n: F.conv(F.substring(hash_order(seed, side, F.lit(fold), F.col("r"), F.col("a")), 1, 8), 16, 10).cast("bigint") % n
+
+    def drawn(left: DataFrame, start: int, each: int) -> DataFrame:
+        """`r`, `source_id`, `target_id`: the first free one of so many attempts from `start`."""
+        runs = left.select("r", F.explode(F.sequence(F.lit(start), F.lit(start + each - 1), F.lit(RUN))).alias("b"))
+        tries = runs.select("r", F.explode(F.sequence("b", F.least(F.col("b") + RUN, F.lit(start + each)) - 1)).alias("a")).withColumn("si", draw("source", ns)).withColumn("ti", draw("target", nt))
+        pairs = tries.join(s.select(F.col("i").alias("si"), F.col("entity_id").alias("source_id")), "si").join(t.select(F.col("i").alias("ti"), F.col("entity_id").alias("target_id")), "ti")
+        pairs = pairs.select("r", "a", "source_id", "target_id", F.least("source_id", "target_id").alias("x"), F.greatest("source_id", "target_id").alias("y"))
+        first = pairs.join(taken, ["x", "y"], "left_anti").groupBy("r").agg(F.min(F.struct("a", "source_id", "target_id")).alias("m"))
+        return materialize(first.select("r", "m.source_id", "m.target_id"))
+
+    n = number.count()
+    found = drawn(number, 0, attempts)
+    out, start, spent, volume = found, attempts, n * attempts, n * attempts
+    left, missing = number, n
+    while missing := missing - found.count():
+        volume *= 2
+        each = min((n * BUDGET - spent) // missing, max(attempts, volume // missing))
+        if each < 1:
+            log.warning("only %d of %d negatives found in %d draws", n - missing, n, spent)
+            break
+        left = materialize(left.join(found, "r", "left_anti"))
+        found = drawn(left, start, each)
+        out, start, spent = out.unionByName(found), start + each, spent + each * missing
+    return out.select("source_id", "target_id")
 
 
 def labelled(test: DataFrame, sources: DataFrame, targets: DataFrame, known: DataFrame, ids: DataFrame, seed: int, fold: int = 0) -> DataFrame:
