@@ -1,8 +1,8 @@
 """Texts packed into containers of fixed capacity, by hierarchical packing of several lengths.
 
-Texts are routed to tiers by size (more than half a container, more than a quarter, ...). Packing needs only how many texts there are of each
-size, at most `capacity` numbers however large the corpus: starting with the longest tier, a pattern of sizes that fill one container
-is formed by filling the gap of its longest text from the same or shorter tiers, the best-fitting size first, and is used as often as its sizes last.
+Packing needs only how many texts there are of each size, at most `capacity` numbers however large the corpus: starting with the longest size,
+a pattern of sizes that fill one container is formed by filling the gap of its longest text, the best-fitting size first, and is used as often as
+its sizes last. This best fit replaces packing tier by tier; a text's tier (more than half a container, more than a quarter, ...) is only a label.
 Texts then find their container by their rank among the texts of their size. Containers are dealt to step groups so that groups hold nearly equal tokens.
 """
 
