@@ -1,26 +1,32 @@
 """Freely typed names mapped to the closest entry of a reference list, by an inverted index of character n-grams.
 
-Typed names are deduplicated, normalised (case, Greek letters, hyphens, spaces) and looked up in an index from n-gram to reference names. Candidates
-are scored by the cosine of their n-gram vectors, weighted by rarity in the list. The best is accepted above a threshold and a margin to
-the best of any other entry; an exact check by edit distance follows, as a rare n-gram alone can't carry a name. Names that are not accepted are reported with entry 0.
+Typed names are deduplicated, normalised (case, Greek letters, hyphens, spaces) and looked up in an index from n-gram to reference names. N-grams are pairs of letters
+up to GAP places apart, and letters with their place from the front and from the end (shared with the places beside it at half weight), so that two typing errors leave a
+short name most of its n-grams. Candidates are scored by the cosine of their n-gram counts, weighted by rarity in the list. The best entry is accepted above a threshold if it
+leads all other entries by a margin; entries within the margin are a tie, which the smaller edit distance decides. An exact check of the edit distance follows.
+Names that are not accepted are reported with entry 0.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphloom.operators.enzymes import ligand_items
-from graphloom.storage import materialize, spread
+from graphloom.storage import materialize
 
-#: Accepted at this cosine and this margin over the best other entry, or, below that margin, if the edit distance is smaller than to any other entry.
-#: Two typing errors in a short name leave few n-grams, so the threshold is low and the edit distance decides.
-THRESHOLD, MARGIN = 0.12, 0.05
-#: Edits accepted, as a share of the reference name's length, and the number always accepted.
+#: Accepted from this cosine on, and with this margin over all other entries (within the margin the edit distance decides).
+THRESHOLD, MARGIN = 0.42, 0.08
+#: Edits accepted by the exact check, as a share of the reference name's length, and the number always accepted.
 EDIT_SHARE, EDITS = 0.2, 2
-#: Reference names, the best by cosine, that are compared by edit distance.
-KEPT = 16
+#: Letters of a pair are at most so many places apart.
+GAP = 3
+#: Reference names of a block of the index, names a task looks up in it (about), and n-gram entries scored together.
+REFERENCE_BLOCK, NAME_BLOCK, ENTRIES = 20_000, 8_192, 2_000_000
 #: Greek letters and their names.
 GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "κ": "kappa", "λ": "lambda", "μ": "mu", "µ": "mu", "ω": "omega"}
 
@@ -45,11 +51,103 @@ def normal_name(name: Column) -> Column:
     return F.nullif(F.regexp_replace(out, r"[^\p{L}\p{Nd}]+", ""), F.lit(""))
 
 
-def _grams(name: Column) -> Column:
-    """Distinct 2- and 3-grams of a framed name."""
-    text = F.concat(F.lit("^"), name, F.lit("$"))
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i: F.substr(text, i, F.lit(n)))
-    return F.array_distinct(F.concat(of(2), of(3)))
+def grams(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, n-gram, count) of names, each n-gram of a name once; an n-gram is a number made of its letters, its place and its kind."""
+    framed = [f"^{x}$" for x in names]
+    size = np.array([len(x) for x in framed], dtype=np.int64)
+    c = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(names)), size)
+    at = np.arange(len(c)) - np.repeat(np.cumsum(size) - size, size)
+    back = np.repeat(size, size) - 1 - at
+    rows, keys, counts = [], [], []
+    for gap in range(1, GAP + 1):
+        i = np.flatnonzero(back >= gap)
+        rows.append(row[i])
+        keys.append((c[i] << 21 | c[i + gap]) << 2)
+        counts.append(np.ones(len(i)))
+    inner = np.flatnonzero((at > 0) & (back > 0))
+    for kind, place in ((1, at), (2, back)):
+        for beside, weight in ((-1, 0.5), (0, 1.0), (1, 0.5)):
+            rows.append(row[inner])
+            keys.append((np.minimum(place[inner] + beside, (1 << 20) - 1) << 21 | c[inner]) << 2 | kind)
+            counts.append(np.full(len(inner), weight))
+    row, key, count = (np.concatenate(x) for x in (rows, keys, counts))
+    order = np.lexsort((key, row))
+    row, key, count = row[order], key[order], count[order]
+    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])))) if len(row) else np.zeros(0, np.int64)
+    return row[first], key[first], np.add.reduceat(count, first) if len(row) else count
+
+
+def _runs(size: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Consecutive ranges whose sizes add up to `most` or so."""
+    at = np.cumsum(size)
+    out, a = [], 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(at, (at[a - 1] if a else 0) + most, side="right")))
+        out.append((a, b))
+        a = b
+    return out
+
+
+def _listed(batches):
+    """(ref, keys, counts): the n-grams of every reference name."""
+    for batch in batches:
+        names = batch.column(0).to_pylist()
+        for a, b in _runs(np.array([len(x) for x in names]), 200_000):
+            row, key, count = grams(names[a:b])
+            ends = pa.array(np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (key, count)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], ["ref", "keys", "counts"])
+
+
+class Index:
+    """The inverted index of a block of reference names: postings by n-gram, weighted and scaled to length 1 by name."""
+
+    def __init__(self, names: list[str], keys: list[np.ndarray], counts: list[np.ndarray], vocabulary: np.ndarray, weights: np.ndarray, unknown: float):
+        self.names, self.unknown = np.array(names, dtype=object), unknown
+        order = np.argsort(vocabulary)
+        self.vocabulary, self.weights = vocabulary[order], weights[order]
+        size = np.array([len(k) for k in keys], dtype=np.int64)
+        ref = np.repeat(np.arange(len(names)), size)
+        at = np.searchsorted(self.vocabulary, np.concatenate(keys))
+        value = np.concatenate(counts) * self.weights[at]
+        norm = np.sqrt(np.bincount(ref, value * value, len(names)))
+        order = np.argsort(at, kind="stable")
+        self.ref, self.value = ref[order], (value / norm[ref])[order]
+        self.begin = np.searchsorted(at[order], np.arange(len(self.vocabulary) + 1))
+
+    def look_up(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(name, reference name, cosine) for cosines of THRESHOLD or more that are within MARGIN of the name's best here."""
+        row, key, count = grams(names)
+        at = np.minimum(np.searchsorted(self.vocabulary, key), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == key
+        weight = count * np.where(known, self.weights[at], self.unknown)
+        norm = np.sqrt(np.bincount(row, weight * weight, len(names)))
+        row, at, weight = row[known], at[known], (weight / norm[row])[known]
+        width = self.begin[at + 1] - self.begin[at]
+        n = len(self.names)
+        out = []
+        for a, b in _runs(np.bincount(row, width, len(names)) + n, ENTRIES):
+            i, j = np.searchsorted(row, (a, b))
+            w = width[i:j]
+            posting = np.repeat(self.begin[at[i:j]] - np.cumsum(w) + w, w) + np.arange(int(w.sum()))
+            cos = np.bincount(np.repeat((row[i:j] - a) * n, w) + self.ref[posting], np.repeat(weight[i:j], w) * self.value[posting], (b - a) * n).reshape(b - a, n)
+            x, y = np.nonzero(cos >= np.maximum(cos.max(1, keepdims=True) - MARGIN, THRESHOLD))
+            out.append((x + a, y, cos[x, y]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _meet(names: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+    if not len(names) or not len(index):
+        return pd.DataFrame({"name": pd.Series(dtype=object), "ref": pd.Series(dtype=object), "score": np.zeros(0)})
+    listed, words = index[index["ref"].notna()], index[index["ref"].isna()]
+    work = Index(listed["ref"].tolist(), listed["keys"].tolist(), listed["counts"].tolist(), np.concatenate(words["keys"].tolist()), np.concatenate(words["counts"].tolist()), float(words["unknown"].iloc[0]))
+    typed = names["name"].tolist()
+    out = []
+    for a, b in _runs(np.array([len(x) for x in typed]), 200_000):
+        i, j, cos = work.look_up(typed[a:b])
+        out.append(pd.DataFrame({"name": np.array(typed[a:b], dtype=object)[i], "ref": work.names[j], "score": cos}))
+    return pd.concat(out)
 
 
 def _edits_accepted(length: Column) -> Column:
@@ -62,42 +160,43 @@ def reference_names(reference: DataFrame) -> DataFrame:
     return names.select("cid", normal_name(F.col("n")).alias("ref")).where("ref is not null").distinct()
 
 
+def candidates(names: DataFrame, refs: DataFrame) -> DataFrame:
+    """`name`, `ref`, `score`: reference names (column ref, each once) with a cosine of THRESHOLD or more that is within MARGIN of the best of their block of the index.
+
+    Every block holds the whole vocabulary of n-grams with their weights; it has at most as many as there are pairs of letters, and letters times places, in the list,
+    however many names. Names are dealt to tasks by hash and meet every block.
+    """
+    listed = materialize(refs.mapInArrow(_listed, "ref string, keys array<bigint>, counts array<double>"))
+    n, asked = listed.count(), names.count()
+    blocks = max(1, -(-n // REFERENCE_BLOCK))
+    parts = max(1, -(-asked // NAME_BLOCK), min(2 * names.sparkSession.sparkContext.defaultParallelism, asked // 500))
+    unknown = F.log(F.lit(1.0 + n))  # n-grams the list lacks count as the rarest
+    rarity = listed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.log(F.lit(1.0 + n) / F.count(F.lit(1))).alias("w"))
+    words = rarity.groupBy(F.pmod(F.xxhash64("key"), F.lit(64)).alias("g")).agg(F.collect_list(F.struct("key", "w")).alias("z"))
+    words = words.select(F.lit(None).cast("string").alias("ref"), F.col("z.key").alias("keys"), F.col("z.w").alias("counts"), unknown.alias("unknown"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    held = listed.select("ref", "keys", "counts", unknown.alias("unknown"), F.pmod(F.xxhash64("ref"), F.lit(blocks)).cast("int").alias("block"))
+    index = held.unionByName(words).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asks = names.select("name", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int").alias("to"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("of"))
+    return asks.groupBy("of", "to").cogroup(index.groupBy("block", "part")).applyInPandas(_meet, "name string, ref string, score double")
+
+
 def closest(names: DataFrame, reference: DataFrame) -> DataFrame:
     """`name`, `cid`, `score`, `edits` of each distinct normal name in column `name`; cid 0 where no entry is accepted.
 
-    A name equal to entries' names maps to the smallest of their cids. Ties go to fewer edits, then the higher cosine, then the smaller cid.
-    Only reference names whose length is within the edits accepted are candidates, so the margin is to the best other entry that could be meant.
+    A name equal to entries' names maps to the smallest of their cids. A tie within the margin that the edit distance can't decide gives no entry.
     """
     refs = materialize(reference_names(reference))
-    n_refs = refs.select("ref").distinct().count()
-    listed = materialize(refs.select("ref").distinct().withColumn("ref_id", F.monotonically_increasing_id()))
-    grams = listed.select("ref_id", F.length("ref").alias("ref_length"), F.explode(_grams(F.col("ref"))).alias("gram"))
-    idf = grams.groupBy("gram").agg((F.log(F.lit(1.0 + n_refs) / F.count(F.lit(1)))).alias("w"))
-    weighed = grams.join(idf, "gram")
-    norms = weighed.groupBy("ref_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ref_norm"))
-    index = materialize(weighed.join(norms, "ref_id").select("gram", "ref_id", "ref_length", "w", (F.col("w") * F.col("w") / F.col("ref_norm")).alias("share")))
     typed = materialize(names.select("name").where("name is not null").distinct())
     exact = typed.join(refs.groupBy("ref").agg(F.min("cid").alias("cid")), F.col("name") == F.col("ref")).select("name", "cid", F.lit(1.0).alias("score"), F.lit(0).alias("edits"))
-    open_names = materialize(spread(typed.join(exact, "name", "left_anti"), "name").withColumn("name_id", F.monotonically_increasing_id()))
-    asked = open_names.select("name_id", F.length("name").alias("length"), F.explode(_grams(F.col("name"))).alias("gram"))
-    # Lengths that differ by more than the edits accepted rule a pair out before it is scored.
-    within = F.abs(F.col("length") - F.col("ref_length")) <= _edits_accepted(F.col("ref_length"))
-    dots = asked.join(index, "gram").where(within).groupBy("name_id", "ref_id").agg(F.sum("share").alias("dot"))
-    # Grams the list lacks count as the rarest.
-    rarest = F.log(F.lit(1.0 + n_refs))
-    norm = asked.join(idf, "gram", "left").groupBy("name_id").agg(F.sqrt(F.sum(F.coalesce(F.col("w") * F.col("w"), rarest * rarest))).alias("norm"))
-    top = dots.withColumn("r", F.row_number().over(W.partitionBy("name_id").orderBy(F.desc("dot"), "ref_id"))).where(F.col("r") <= KEPT)
-    best = top.join(norm, "name_id").join(open_names, "name_id").join(listed, "ref_id").select("name", "ref", (F.col("dot") / F.col("norm")).alias("score"))
-    with_edits = best.select("name", "ref", "score", F.levenshtein("name", "ref").alias("edits")).join(refs, "ref")
-    entries = with_edits.groupBy("name", "cid").agg(F.min(F.struct("edits", (-F.col("score")).alias("far"), "ref")).alias("m"), F.max("score").alias("score"))
-    entries = entries.select("name", "cid", "score", F.col("m.edits").alias("edits"), F.length("m.ref").alias("length"))
-    order = W.partitionBy("name").orderBy("edits", F.desc("score"), "cid")
-    ranked = entries.select("*", F.row_number().over(order).alias("r"), F.max("score").over(W.partitionBy("name")).alias("top"), F.lead("edits").over(order).alias("next_edits"), F.lead("score").over(order).alias("next_score"))
-    first = ranked.where("r = 1")
-    clear = (F.col("score") - F.coalesce("next_score", F.lit(0.0)) >= MARGIN) | (F.col("edits") < F.coalesce("next_edits", F.lit(1 << 30)))
-    near = F.col("edits") <= _edits_accepted(F.col("length"))
-    accepted = first.where((F.col("score") >= THRESHOLD) & clear & near).select("name", "cid", "score", "edits")
-    rest = open_names.join(accepted, "name", "left").select("name", F.coalesce("cid", F.lit(0)).alias("cid"), "score", "edits")
+    open_names = materialize(typed.join(exact, "name", "left_anti"))
+    scored = materialize(candidates(open_names, refs.select("ref").distinct()))
+    rivals = scored.withColumn("top", F.max("score").over(W.partitionBy("name"))).where(F.col("score") >= F.col("top") - MARGIN)
+    rivals = rivals.select("name", "ref", "score", F.levenshtein("name", "ref").alias("edits")).join(refs, "ref")
+    entries = rivals.groupBy("name", "cid").agg(F.min(F.struct("edits", (-F.col("score")).alias("far"), F.length("ref").alias("length"))).alias("m"), F.max("score").alias("score"))
+    order = W.partitionBy("name").orderBy("m.edits", F.desc("score"), "cid")
+    ranked = entries.select("name", "cid", "score", F.col("m.edits").alias("edits"), F.col("m.length").alias("length"), F.row_number().over(order).alias("r"), F.lead("m.edits").over(order).alias("next"))
+    accepted = ranked.where((F.col("r") == 1) & (F.col("next").isNull() | (F.col("edits") < F.col("next"))) & (F.col("edits") <= _edits_accepted(F.col("length"))))
+    rest = open_names.join(accepted.select("name", "cid", "score", "edits"), "name", "left").select("name", F.coalesce("cid", F.lit(0)).alias("cid"), "score", "edits")
     return exact.unionByName(rest)
 
 
