@@ -2,8 +2,8 @@
 
 Adjacency lists are hash-partitioned. Every node that outranks all its neighbours (by degree, then hash) is a seed; all seeds
 expand their frontiers concurrently, and an unlabelled node takes the smallest label that reaches it. Where two labels
-meet, they become an edge of a much smaller graph of labels, which is treated the same way until it has at most
-SMALL_EDGES edges; then one task merges it by union-find. No links or components reach the driver, only counts.
+meet, they become a link of a much smaller graph of labels, which union-find merges in one task if it has at most TASK_LINKS
+links; a larger one is searched from its own seeds in turn. No links or components reach the driver, only counts.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import Window as W
 from graphloom.functions.ids import entity_key
 from graphloom.storage import materialize
 
-#: A graph of labels with no more edges than this is merged in one task (some 50 MB of Python memory).
-SMALL_EDGES = 200_000
+#: Links of a graph of labels that one task merges (some 50 MB of Python memory).
+TASK_LINKS = 200_000
 #: Components with more than 1/LARGE_SHARE of the rows (so fewer than LARGE_SHARE of them) are placed one by one.
 LARGE_SHARE = 1000
 #: Hash ranges over which the running count of rows is kept.
@@ -74,15 +74,12 @@ def _search(both: DataFrame) -> DataFrame:
     return out
 
 
-def _merge(both: DataFrame, links: int) -> DataFrame:
-    """(u, label): equal labels within, and only within, a component."""
-    if links <= SMALL_EDGES:
-        one = both.where("u < v").select("u", "v").coalesce(1)
-        return one.mapInPandas(_union_find, "u string, label string")
+def _merge(links: DataFrame) -> DataFrame:
+    """(u, label): equal labels within, and only within, a component; `links` holds each link once, without loops."""
+    both = materialize(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     labels = materialize(_search(both))
     met = (
-        both.where("u < v")
-        .join(labels, "u")
+        links.join(labels, "u")
         .select("v", F.col("label").alias("lu"))
         .join(labels.select(F.col("u").alias("v"), F.col("label").alias("lv")), "v")
         .where("lu <> lv")
@@ -93,7 +90,7 @@ def _merge(both: DataFrame, links: int) -> DataFrame:
     n = smaller.count()
     if not n:
         return labels
-    roots = _merge(materialize(smaller.unionByName(smaller.select(F.col("v").alias("u"), F.col("u").alias("v")))) if n > SMALL_EDGES else smaller, n)
+    roots = smaller.coalesce(1).mapInPandas(_union_find, "u string, label string") if n <= TASK_LINKS else _merge(smaller)
     roots = roots.select(F.col("u").alias("label"), F.col("label").alias("root"))
     return labels.join(roots, "label", "left").select("u", F.coalesce("root", "label").alias("label"))
 
@@ -106,9 +103,7 @@ def entity_groups(edges: DataFrame) -> DataFrame:
     """
     pairs = ends(edges).select("s", "t").distinct()
     links = materialize(pairs.where("s <> t").select(F.least("s", "t").alias("u"), F.greatest("s", "t").alias("v")).distinct())
-    n = links.count()
-    both = links if n <= SMALL_EDGES else materialize(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = materialize(_merge(both, n))
+    labels = materialize(_merge(links))
     groups = labels.groupBy("label").agg(F.min("u").alias("group_id"))
     tied = labels.join(groups, "label").select(F.col("u").alias("entity_id"), "group_id")
     every = pairs.select(F.explode(F.array("s", "t")).alias("entity_id")).where("entity_id is not null").distinct()
@@ -125,7 +120,7 @@ def assign_splits(edges: DataFrame, shares: tuple[tuple[str, float], ...] = (("t
     keyed = ends(edges).select("interaction_id", F.coalesce("s", "t").alias("entity_id"))
     groups = entity_groups(edges)
     rows = materialize(keyed.join(groups, "entity_id", "left").select("interaction_id", F.coalesce("group_id", F.concat(F.lit("row "), F.col("interaction_id").cast("string"))).alias("group_id")))
-    sizes = materialize(rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "group_id"), F.lit(1 << 40))))
+    sizes = materialize(rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "group_id")), 1, 10), 16, 10).cast("bigint")))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     names = [name for name, _ in shares]
     room = {name: share * total for name, share in shares}

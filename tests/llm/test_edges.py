@@ -127,12 +127,12 @@ def union(rows):
     return {(x, least[r]) for x, r in out.items()}
 
 
-@pytest.mark.parametrize("small", [1, 200_000])
-def test_components(make_edges, monkeypatch, small):
-    monkeypatch.setattr(components, "SMALL_EDGES", small)
-    rng = random.Random(small)
+@pytest.mark.parametrize("links", [0, 200_000])
+def test_components(make_edges, monkeypatch, links):
+    monkeypatch.setattr(components, "TASK_LINKS", links)
+    rng = random.Random(links)
     rows = [(f"N{rng.randrange(300)}", f"N{rng.randrange(300)}", "r") for _ in range(150)]
-    rows += [("HUB", f"N{i}", "r") for i in range(60)] + [(f"C{i}", f"C{i + 1}", "r") for i in range(30)] + [(None, "Z1", "r"), ("Z2", "", "r"), (None, None, "r"), ("L1", "L1", "r")]
+    rows += [("HUB", f"N{i}", "r") for i in range(60)] + [(f"C{i}", f"C{i + 1}", "r") for i in range(300)] + [(None, "Z1", "r"), ("Z2", "", "r"), (None, None, "r"), ("L1", "L1", "r")]
     df = make_edges(rows)
     assert {tuple(r) for r in components.entity_groups(df).collect()} == union(rows)
     assert components.entity_groups(df.limit(0)).count() == 0
