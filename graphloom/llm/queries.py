@@ -54,6 +54,10 @@ def p9_containers(spark, d):
     return packing.pack(table(spark, d, "documents"))
 
 
+def p9_tiers(spark, d):
+    return packing.tier_report(packing.pack(table(spark, d, "documents")))
+
+
 def p10_found(spark, d):
     return pieces.found(table(spark, d, "documents"))
 
@@ -62,4 +66,4 @@ def p10_pieces(spark, d):
     return pieces.pieces(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_nearest, p4_found, p4_collapsed, p6_found, p6_splits, p7_found, p7_unmatched, p8_ids, p9_containers, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_nearest, p4_found, p4_collapsed, p6_found, p6_splits, p7_found, p7_unmatched, p8_ids, p9_containers, p9_tiers, p10_found, p10_pieces)}

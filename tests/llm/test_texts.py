@@ -87,23 +87,43 @@ def test_containers(spark, capacity):
     assert sorted(per_box) == list(range(len(per_box)))
 
 
-def test_plan_is_tight_and_complete():
+@pytest.mark.parametrize("contexts", [(2048, 1024, 512, 256), (2048,), (2048, 300)])
+def test_plan_is_tight_and_complete(contexts):
     rng = random.Random(4)
     counts = {s: rng.randrange(1, 2000) for s in rng.sample(range(1, 2049), 300)}
-    plan = packing.plan(counts, 2048)
+    plan = packing.plan(counts, contexts)
     used, boxes = {}, 0
-    for times, parts in plan:
+    for t, times, parts in plan:
         assert sum(s * n for s, n, _ in parts) <= 2048
+        tiers = [packing.tier(s, contexts) for s, _, _ in parts]
+        assert tiers[0] == t and tiers == sorted(tiers)  # opened by its own tier, filled from shorter ones
         boxes += times
         for s, n, first in parts:
             assert first == used.get(s, 0)
             used[s] = first + n * times
     assert used == counts and len(plan) <= 2 * len(counts)
-    assert len(packing.plan({s: n * 1000 for s, n in counts.items()}, 2048)) <= 2 * len(counts)
+    assert [t for t, _, _ in plan] == sorted(t for t, _, _ in plan)
+    assert len(packing.plan({s: n * 1000 for s, n in counts.items()}, contexts)) <= 2 * len(counts)
     least = sum(s * n for s, n in counts.items()) / 2048
     big = sum(n for s, n in counts.items() if s > 1024)
     assert boxes <= max(least, big) * 1.03 + 1
-    assert packing.plan({}, 10) == []
+    assert packing.plan({}, (10,)) == []
+
+
+def test_containers_when_patterns_are_too_many_to_broadcast(spark, monkeypatch):
+    want = sorted(map(tuple, packing.pack(docs(spark)).collect()), key=str)
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, packing.pack(docs(spark)).collect()), key=str) == want
+
+
+def test_tier_report(spark):
+    packed = packing.pack(docs(spark))
+    rows = packing.tier_report(packed).collect()
+    total = packing.report(packed).first()
+    assert sum(r.containers for r in rows) == total.containers
+    assert sum(r.own_tokens + r.filled_tokens for r in rows) == total.tokens
+    with pytest.raises(ValueError):
+        packing.pack(docs(spark), 100, contexts=(200,))
 
 
 @pytest.mark.parametrize("size, halo, limit, overlap", [(pieces.RANGE, pieces.HALO, 1024, 64), (200, 20, 1024, 64), (50, 3, 100, 10), (1000, 100, 50, 0)])
