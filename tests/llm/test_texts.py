@@ -142,6 +142,23 @@ def test_pieces_give_the_text_again(spark, size, halo, limit, overlap):
         assert out == want[i]
 
 
+@pytest.mark.parametrize("size, halo", [(pieces.RANGE, pieces.HALO), (333, 7)])
+def test_pieces_of_files(spark, tmp_path, size, halo):
+    texts = {f"t{i}.txt": t for i, t in enumerate(TEXTS) if t is not None} | {"mixed.txt": "Ünïcode 中文。 ends. \n\n" * 500 + "é" * 3000}
+    for name, t in texts.items():
+        (tmp_path / name).write_text(t, encoding="utf-8", newline="")
+    got = {}
+    for r in pieces.pieces_of_files(spark, str(tmp_path), size=size, halo=halo).collect():
+        got.setdefault(r.doc_id.rsplit("/", 1)[1], []).append(r)
+    ids = {name: reference().encode_ordinary(t) for name, t in texts.items()}
+    assert set(got) == {name for name, x in ids.items() if len(x) > 1024}
+    for name, rows in got.items():
+        out = []
+        for r in sorted(rows, key=lambda r: r.piece_no):
+            out = out[: r.token_start] + r.ids
+        assert out == ids[name]
+
+
 def test_cuts_are_natural(spark):
     by = {}
     for r in pieces.with_text(pieces.pieces(docs(spark))).collect():
