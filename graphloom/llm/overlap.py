@@ -1,15 +1,16 @@
 """Records of evaluation splits that training holds too, exactly or almost, by a compressed full-text index.
 
-Each distinct pair of ends is looked up as (anchor, other): the anchors must be equal, the others equal or one edit apart. If two
-strings are one edit apart, the first or the last half-length part of both agrees (see LEVELS), so a pair is dealt to shards by
-(anchor, that part), and equal or near pairs meet in at least one shard. In a shard the evaluation pairs become an FM-index (Burrows-Wheeler
-text, rank samples and the record number of each record start; no other suffix positions are kept). The training
-pairs stream through it by backward search: the anchor and the agreeing part are matched exactly, then the search goes on to the maximal match
-while one edit may branch off at each further place. Spans that reach a record's start are hits; hits of several shards merge.
+Each distinct pair of ends is read twice, as (anchor, other): the anchors must be equal, the others equal or one edit apart. Readings are dealt to shards by the hash of
+their anchor. Of each evaluation shard two FM-indexes are built, once: of its records, and of its records with `other` turned round (Burrows-Wheeler texts in wavelet matrices:
+bits and sampled counts, less than a byte a letter; no suffix positions are kept but the record number at each record's start). All training
+readings stream through their shard's indexes by backward search, without any join before it. The anchor is matched exactly, then half of `other` (the last half in the one index, the first
+half in the other, as one edit leaves one of them whole), then the search goes on to the maximal match while one edit may branch off at each further
+place. The spans both searches give for a pair of records, from its end and from its start, are merged and counted.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,15 +21,13 @@ from pyspark.sql import functions as F
 from graphloom.functions.ids import entity_key
 from graphloom.storage import materialize
 
-#: Lengths k of the agreeing part. Strings of 2k to 2k' characters (k' the next) use k: with |x|, |y| >= 2k and one edit, the part
-#: before it or the part after it has k characters or more, so the first k or the last k characters of both are equal. A string whose length is on a border uses both.
-LEVELS = (0, 2, 4, 5, 6, 8, 12, 20, 40, 100, 1000)
-#: Distinct pairs that one shard's index holds, and that one task streams through it, at most (about).
+#: Readings that one index holds, and that one task streams through it, at most (about).
 SHARD_PAIRS, STREAM_PAIRS = 60_000, 200_000
 #: Patterns searched together.
 STEP = 20_000
 _END, _BAR = 1, 2
-_SAMPLE = 32
+#: 64-bit words between two full counts.
+_SUPER = 1024
 
 
 def _encode(texts: list[str], alphabet: dict[str, int] | None) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
@@ -47,8 +46,57 @@ def _encode(texts: list[str], alphabet: dict[str, int] | None) -> tuple[np.ndarr
     return np.where(known[at] == points, codes[at], 0).astype(np.int32), starts, alphabet
 
 
+class Wavelet:
+    """A text in a wavelet matrix: a row of bits for each bit of a code, and counts of ones by word (16 bits) and by _SUPER words (64 bits)."""
+
+    def __init__(self, text: np.ndarray):
+        self.depth = max(1, int(text.max(initial=0)).bit_length())
+        words = len(text) // 64 + 1
+        self.words = np.zeros((self.depth, words), dtype=np.uint64)
+        self.near = np.zeros((self.depth, words), dtype=np.uint16)
+        self.far = np.zeros((self.depth, words // _SUPER + 1), dtype=np.int64)
+        self.zeros = np.zeros(self.depth, dtype=np.int64)
+        symbols = np.arange(1 << self.depth)
+        start = np.zeros(1 << self.depth, dtype=np.int64)
+        for level in range(self.depth):
+            bit = (text >> (self.depth - 1 - level)) & 1
+            packed = np.packbits(np.concatenate((bit.astype(np.uint8), np.zeros(words * 64 - len(bit), np.uint8))), bitorder="little").view(np.uint64)
+            self.words[level] = packed
+            ones = np.concatenate(([0], np.cumsum(np.bitwise_count(packed).astype(np.int64))))[:-1]
+            self.far[level] = ones[:: _SUPER][: self.far.shape[1]] if words % _SUPER else np.append(ones[::_SUPER], ones[-1])
+            self.near[level] = ones - self.far[level][np.arange(words) // _SUPER]
+            self.zeros[level] = len(bit) - int(bit.sum())
+            text = np.concatenate((text[bit == 0], text[bit == 1]))
+            up = ((symbols >> (self.depth - 1 - level)) & 1).astype(bool)
+            r = self._ones(level, start)
+            start = np.where(up, self.zeros[level] + r, start - r)
+        self.start = start
+
+    def _ones(self, level: int, i: np.ndarray) -> np.ndarray:
+        word = i >> 6
+        part = self.words[level][word] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
+        return self.far[level][word // _SUPER] + self.near[level][word] + np.bitwise_count(part)
+
+    def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """How often each symbol occurs before each place."""
+        for level in range(self.depth):
+            r = self._ones(level, i)
+            i = np.where((c >> (self.depth - 1 - level)) & 1, self.zeros[level] + r, i - r)
+        return i - self.start[c]
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The symbols at places."""
+        c = np.zeros(len(i), dtype=np.int64)
+        for level in range(self.depth):
+            bit = ((self.words[level][i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+            r = self._ones(level, i)
+            i = np.where(bit, self.zeros[level] + r, i - r)
+            c = c << 1 | bit
+        return c
+
+
 class FMIndex:
-    """An FM-index of the records `other|anchor` (others possibly reversed by the caller), each framed by an end mark."""
+    """An FM-index of the records `other|anchor` (others possibly turned round by the caller), each framed by an end mark."""
 
     def __init__(self, anchors: list[str], others: list[str]):
         n = len(anchors)
@@ -58,30 +106,21 @@ class FMIndex:
         # text: END other BAR anchor END other BAR anchor ... END
         size = int(starts[-1]) + 2 * n + 1
         text = np.empty(size, dtype=np.int32)
-        shift = np.arange(2 * n) + 1
-        where = np.arange(len(codes)) + np.repeat(shift, lengths)
+        where = np.arange(len(codes)) + np.repeat(np.arange(2 * n) + 1, lengths)
         text[where] = codes
-        self.begins = starts[0:-1:2] + 2 * np.arange(n)
-        text[self.begins] = _END
+        begins = starts[0:-1:2] + 2 * np.arange(n)
+        text[begins] = _END
         text[starts[1::2] + 2 * np.arange(n) + 1] = _BAR
         text[size - 1] = _END
-        self.sigma = int(text.max()) + 1
+        self.sigma, self.size = int(text.max()) + 1, size
         suffixes = self._sort(text)
         bwt = text[suffixes - 1]
         self.first = np.zeros(self.sigma + 1, dtype=np.int64)
         np.cumsum(np.bincount(bwt, minlength=self.sigma), out=self.first[1:])
-        ends = suffixes[self.first[_END] : self.first[_END + 1]]
         record = np.full(size, -1, dtype=np.int32)
-        record[self.begins] = np.arange(n)
-        self.record = record[ends]
-        self.size = size
-        blocks = size // _SAMPLE + 1
-        padded = np.zeros(blocks * _SAMPLE, dtype=np.int32)
-        padded[:size] = bwt
-        self.bwt = padded.astype(np.uint8 if self.sigma < 256 else np.int32).reshape(blocks, _SAMPLE)
-        counts = np.bincount((np.arange(blocks * _SAMPLE) // _SAMPLE) * self.sigma + padded, minlength=blocks * self.sigma).reshape(blocks, self.sigma)
-        self.ranks = np.zeros((blocks, self.sigma), dtype=np.int32)
-        np.cumsum(counts[:-1], axis=0, out=self.ranks[1:])
+        record[begins] = np.arange(n)
+        self.record = record[suffixes[self.first[_END] : self.first[_END + 1]]]
+        self.bwt = Wavelet(bwt)
 
     @staticmethod
     def _sort(text: np.ndarray) -> np.ndarray:
@@ -98,21 +137,16 @@ class FMIndex:
                 return order
             rank, k = new, 2 * k
 
-    def _rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        block, off = i // _SAMPLE, i % _SAMPLE
-        inside = ((self.bwt[block] == c[:, None]) & (np.arange(_SAMPLE)[None, :] < off[:, None])).sum(1)
-        return self.ranks[block, c] + inside
-
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The interval of each match with one more character to its left."""
-        return self.first[c] + self._rank(c, lo), self.first[c] + self._rank(c, hi)
+        return self.first[c] + self.bwt.rank(c, lo), self.first[c] + self.bwt.rank(c, hi)
 
     def children(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All extensions by one letter of any kind: (which interval, letter, lo, hi); intervals of one row are read off, others tried by letter."""
         out = [[], [], [], []]
         one = np.flatnonzero(hi - lo == 1)
         if len(one):
-            c = self.bwt[lo[one] // _SAMPLE, lo[one] % _SAMPLE].astype(np.int64)
+            c = self.bwt.at(lo[one])
             one, c = one[c >= 3], c[c >= 3]
             a, b = self.extend(c, lo[one], hi[one])
             for part, x in zip(out, (one, c, a, b)):
@@ -130,161 +164,167 @@ class FMIndex:
             return e, e, e, e
         return tuple(np.concatenate(x) for x in out)
 
-    def search(self, anchors: list[str], others: list[str], exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pattern, record, edits) of all records equal to a pattern but for at most one edit in `other`, none of it among its last `exact` characters."""
-        n = len(anchors)
-        codes, starts, _ = _encode([x for pair in zip(others, anchors) for x in pair], self.alphabet)
-        anchor_at, anchor_n = starts[1:-1:2], starts[2::2] - starts[1:-1:2]
-        other_at, other_n = starts[0:-1:2], starts[1::2] - starts[0:-1:2]
-        p = np.arange(n)
-        lo = np.full(n, self.first[_END], dtype=np.int64)
-        hi = np.full(n, self.first[_END + 1], dtype=np.int64)
-
-        def step(p, lo, hi, c):
-            keep = c > 0
-            p, lo, hi, c = p[keep], lo[keep], hi[keep], c[keep]
+    def find(self, anchors: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of `|anchor` of each anchor, the same for records that are turned round; empty (0, 0) where no record has the anchor."""
+        codes, starts, _ = _encode(anchors, self.alphabet)
+        size = np.diff(starts)
+        out_lo, out_hi = np.zeros(len(anchors), dtype=np.int64), np.zeros(len(anchors), dtype=np.int64)
+        p = np.arange(len(anchors))
+        lo, hi = np.full(len(p), self.first[_END], dtype=np.int64), np.full(len(p), self.first[_END + 1], dtype=np.int64)
+        j = 0
+        while len(p):
+            over = size[p] == j
+            c = np.full(len(p), _BAR, dtype=np.int64)
+            c[~over] = codes[starts[p[~over]] + size[p[~over]] - 1 - j]
             lo, hi = self.extend(c, lo, hi)
-            keep = hi > lo
-            return p[keep], lo[keep], hi[keep], keep
-
-        for j in range(int(anchor_n.max(initial=0))):
-            done = anchor_n[p] <= j
-            q, lq, hq = p[~done], lo[~done], hi[~done]
-            q, lq, hq, _ = step(q, lq, hq, codes[anchor_at[q] + anchor_n[q] - 1 - j].astype(np.int64))
-            p, lo, hi = np.concatenate((p[done], q)), np.concatenate((lo[done], lq)), np.concatenate((hi[done], hq))
-        p, lo, hi, _ = step(p, lo, hi, np.full(len(p), _BAR, dtype=np.int64))
-
-        hits_p, hits_r, hits_e = [], [], []
-
-        def finish(p, lo, hi, edits):
-            p, lo, hi, _ = step(p, lo, hi, np.full(len(p), _END, dtype=np.int64))
+            live = (hi > lo) & (c > 0)
+            out_lo[p[live & over]], out_hi[p[live & over]] = lo[live & over], hi[live & over]
+            p, lo, hi = p[live & ~over], lo[live & ~over], hi[live & ~over]
+            j += 1
+        return out_lo, out_hi
+
+    def search(self, lo: np.ndarray, hi: np.ndarray, others: list[str], exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(pattern, record, edits, span) of the records in the intervals of anchors that equal `other` but for at most one edit, none of it among its last `exact` characters.
+
+        `span`: the characters from the end up to the edit, or all.
+        """
+        codes, starts, _ = _encode(others, self.alphabet)
+        at, n = starts[:-1], np.diff(starts)
+        p = np.flatnonzero(hi > lo)
+        lo, hi = lo[p], hi[p]
+        hits = [[], [], [], []]
+
+        def step(c, lo, hi, *more):
+            lo, hi = self.extend(np.maximum(c, 0), lo, hi)
+            keep = (hi > lo) & (c > 0)
+            return (lo[keep], hi[keep], *(x[keep] for x in more))
+
+        def finish(p, lo, hi, edits, span):
+            lo, hi, p, span = step(np.full(len(p), _END, dtype=np.int64), lo, hi, p, span)
             width = hi - lo
-            at = np.repeat(lo - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
-            hits_p.append(np.repeat(p, width))
-            hits_r.append(self.record[at - self.first[_END]])
-            hits_e.append(np.full(len(at), edits, dtype=np.int8))
-
-        # states without an edit: (pattern, characters of other used, interval); all have used j. With one: any number used.
-        empty = np.zeros(0, dtype=np.int64)
-        ep, eu, elo, ehi = empty, empty, empty, empty
+            row = np.repeat(lo - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+            for part, x in zip(hits, (np.repeat(p, width), self.record[row - self.first[_END]], np.full(len(row), edits, dtype=np.int8), np.repeat(span, width))):
+                part.append(x)
+
+        # p, lo, hi: patterns without an edit so far, all of whose last j characters are matched; e...: with one, after es matched characters and eu used.
+        none = np.zeros(0, dtype=np.int64)
+        ep, eu, es, elo, ehi = none, none, none, none, none
         j = 0
         while len(p) or len(ep):
             if len(p):
                 free = exact[p] <= j
-                fp, flo, fhi = p[free], lo[free], hi[free]
-                if len(fp):
-                    inside = other_n[fp] > j
+                if free.any():
+                    fp, flo, fhi = p[free], lo[free], hi[free]
+                    inside = n[fp] > j
                     new = [(fp[inside], np.full(int(inside.sum()), j + 1), flo[inside], fhi[inside])]  # the pattern has a character more
                     pairs, back = np.unique(flo * (self.size + 1) + fhi, return_inverse=True)
-                    ulo, uhi = pairs // (self.size + 1), pairs % (self.size + 1)
-                    which, letter, clo, chi = self.children(ulo, uhi)
+                    which, letter, clo, chi = self.children(pairs // (self.size + 1), pairs % (self.size + 1))
                     order = np.argsort(which, kind="stable")
-                    which, letter, clo, chi = which[order], letter[order], clo[order], chi[order]
+                    letter, clo, chi = letter[order], clo[order], chi[order]
                     count = np.bincount(which, minlength=len(pairs))
-                    begin = np.cumsum(count) - count
                     width = count[back]
                     row = np.repeat(np.arange(len(fp)), width)
-                    child = np.repeat(begin[back] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+                    child = np.repeat((np.cumsum(count) - count)[back] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
                     new.append((fp[row], np.full(len(row), j), clo[child], chi[child]))  # the record has a character more
-                    can = other_n[fp[row]] > j
+                    can = n[fp[row]] > j
                     row, child = row[can], child[can]
-                    differs = letter[child] != codes[other_at[fp[row]] + other_n[fp[row]] - 1 - j]
+                    differs = letter[child] != codes[at[fp[row]] + n[fp[row]] - 1 - j]
                     row, child = row[differs], child[differs]
                     new.append((fp[row], np.full(len(row), j + 1), clo[child], chi[child]))  # one character in place of another
+                    added = sum(len(x[0]) for x in new)
                     ep, eu, elo, ehi = (np.concatenate(x) for x in zip((ep, eu, elo, ehi), *new))
-                over = other_n[p] == j
-                finish(p[over], lo[over], hi[over], 0)
+                    es = np.concatenate((es, np.full(added, j)))
+                over = n[p] == j
+                finish(p[over], lo[over], hi[over], 0, n[p[over]])
                 p, lo, hi = p[~over], lo[~over], hi[~over]
-                p, lo, hi, _ = step(p, lo, hi, codes[other_at[p] + other_n[p] - 1 - j].astype(np.int64))
+                lo, hi, p = step(codes[at[p] + n[p] - 1 - j].astype(np.int64), lo, hi, p)
             if len(ep):
-                over = other_n[ep] <= eu
-                finish(ep[over], elo[over], ehi[over], 1)
-                ep, eu, elo, ehi = ep[~over], eu[~over], elo[~over], ehi[~over]
-                ep, eu, elo, ehi = self._advance(ep, eu, elo, ehi, codes, other_at, other_n)
+                over = n[ep] <= eu
+                finish(ep[over], elo[over], ehi[over], 1, es[over])
+                ep, eu, es, elo, ehi = (x[~over] for x in (ep, eu, es, elo, ehi))
+                elo, ehi, ep, eu, es = step(codes[at[ep] + n[ep] - 1 - eu].astype(np.int64), elo, ehi, ep, eu, es)
+                eu = eu + 1
             j += 1
-        if not hits_p:
-            return empty, empty, empty.astype(np.int8)
-        return np.concatenate(hits_p), np.concatenate(hits_r), np.concatenate(hits_e)
-
-    def _advance(self, p, used, lo, hi, codes, at, n):
-        c = codes[at[p] + n[p] - 1 - used].astype(np.int64)
-        keep = c > 0
-        p, used, lo, hi, c = p[keep], used[keep], lo[keep], hi[keep], c[keep]
-        lo, hi = self.extend(c, lo, hi)
-        keep = hi > lo
-        return p[keep], used[keep] + 1, lo[keep], hi[keep]
-
-
-def _match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """One shard: evaluation pairs on the left, training pairs on the right."""
-    out = []
-    if len(left) and len(right):
-        right = right[right["anchor"].isin(left["anchor"])]
-    if len(left) and len(right):
-        index = FMIndex(left["anchor"].tolist(), left["other"].tolist())
-        l_anchor, l_other, l_back = left["anchor"].to_numpy(), left["other"].to_numpy(), left["back"].to_numpy()
-        for i in range(0, len(right), STEP):
-            part = right.iloc[i : i + STEP]
-            anchors, others, back = part["anchor"].to_numpy(), part["other"].to_numpy(), part["back"].to_numpy()
-            p, r, e = index.search(anchors.tolist(), others.tolist(), part["k"].to_numpy(dtype=np.int64))
-            same = back[p] == l_back[r]
-            p, r, e = p[same], r[same], e[same]
-            turn = [x[::-1] if b else x for x, b in zip(l_other[r], l_back[r])]
-            mine = [x[::-1] if b else x for x, b in zip(others[p], back[p])]
-            out.append(pd.DataFrame({"anchor": l_anchor[r], "eval_other": turn, "train_other": mine, "edits": e.astype(np.int32)}).drop_duplicates())
-    return pd.concat(out) if out else pd.DataFrame({"anchor": [], "eval_other": [], "train_other": [], "edits": np.zeros(0, np.int32)})
-
-
-def _seeds(pairs: DataFrame, splits: Column | None = None) -> DataFrame:
-    """Rows (anchor, other, back, k, part) of both readings of each pair; `other` is reversed where its first part must agree, so that it is matched first."""
-    sides = F.explode(F.array(F.struct(F.col("a").alias("anchor"), F.col("b").alias("o")), F.struct(F.col("b").alias("anchor"), F.col("a").alias("o"))))
-    read = pairs.select(sides.alias("x")).select("x.*").distinct()
-    n = F.length("o")
-    levels = []
-    for k, after in zip(LEVELS, (*LEVELS[1:], None)):
-        fits = (n >= 2 * k) if after is None else (n >= 2 * k) & (n <= 2 * after)
-        levels.append(F.when(fits, F.lit(k)))
-    ks = F.filter(F.array(*levels), lambda k: k.isNotNull())
-    rows = read.select("anchor", "o", F.explode(ks).alias("k"))
-    ways = F.when(F.col("k") == 0, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
-    rows = rows.select("anchor", "o", "k", F.explode(ways).alias("back"))
-    other = F.when(F.col("back"), F.reverse("o")).otherwise(F.col("o"))
-    return rows.select("anchor", other.alias("other"), "back", "k").select("anchor", "other", "back", "k", F.xxhash64("anchor", "back", "k", F.expr("right(other, k)")).alias("part"))
+        return tuple(np.concatenate(x) if x else none for x in hits)
+
+
+class ShardIndex:
+    """The evaluation readings of a shard, indexed from both sides."""
+
+    def __init__(self, anchors: list[str], others: list[str]):
+        self.anchors, self.others = np.array(anchors, dtype=object), np.array(others, dtype=object)
+        self.forward, self.turned = FMIndex(anchors, others), FMIndex(anchors, [x[::-1] for x in others])
+
+    def stream(self, anchors: pd.Series, others: pd.Series) -> pd.DataFrame:
+        """Rows (anchor, eval_other, train_other, edits, prefix, suffix) of training readings; prefix, suffix: the spans from either side that are equal."""
+        which, names = pd.factorize(anchors)
+        lo, hi = self.forward.find(names.tolist())
+        lo, hi = lo[which], hi[which]
+        live = np.flatnonzero(hi > lo)
+        mine = others.to_numpy()[live]
+        size = np.array([len(x) for x in mine], dtype=np.int64)
+        half = size // 2
+        a = self.forward.search(lo[live], hi[live], mine.tolist(), size - half)
+        b = self.turned.search(lo[live], hi[live], [x[::-1] for x in mine], half)
+        p, r, e, span = (np.concatenate(x) for x in zip(a, b))
+        side = np.repeat([0, 1], [len(a[0]), len(b[0])])
+        order = np.lexsort((e, r, p))
+        p, r, e, span, side = p[order], r[order], e[order], span[order], side[order]
+        first = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (r[1:] != r[:-1])))) if len(p) else np.zeros(0, np.int64)
+        longest = lambda s: np.maximum.reduceat(np.where(side == s, span, 0), first) if len(p) else np.zeros(0, np.int64)
+        suffix, prefix = longest(0), longest(1)
+        p, r, e = p[first], r[first], e[first]
+        return pd.DataFrame({"anchor": self.anchors[r], "eval_other": self.others[r], "train_other": mine[p], "edits": e.astype(np.int32), "prefix": prefix.astype(np.int64), "suffix": suffix.astype(np.int64)})
+
+
+def _index(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "block": pdf["block"].iloc[:1], "data": [pickle.dumps(ShardIndex(pdf["anchor"].tolist(), pdf["other"].tolist()), 5)]})
+
+
+_HITS = "anchor string, eval_other string, train_other string, edits int, prefix bigint, suffix bigint"
+
+
+def _stream(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """The training readings on the right through the one index on the left."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"anchor": pd.Series(dtype=object), "eval_other": pd.Series(dtype=object), "train_other": pd.Series(dtype=object), **{c: np.zeros(0, np.int64) for c in ("edits", "prefix", "suffix")}})
+    index = pickle.loads(left["data"].iloc[0])
+    return pd.concat([index.stream(right["anchor"].iloc[i : i + STEP], right["other"].iloc[i : i + STEP]) for i in range(0, len(right), STEP)])
+
+
+def _readings(pairs: DataFrame) -> DataFrame:
+    sides = F.explode(F.array(F.struct(F.col("a").alias("anchor"), F.col("b").alias("other")), F.struct(F.col("b").alias("anchor"), F.col("a").alias("other"))))
+    return pairs.select(sides.alias("x")).select("x.anchor", "x.other").distinct()
 
 
 def near_pairs(evaluation: DataFrame, training: DataFrame) -> DataFrame:
-    """(ea, eb, ta, tb, edits): each distinct evaluation pair (ea <= eb) with each distinct training pair (ta <= tb) that equals it or has one
-    end equal and the other within one edit. Both inputs have columns a <= b without nulls."""
-    ev, tr = materialize(_seeds(evaluation)), materialize(_seeds(training))
-    # Only parts that both sides have can match; their sizes decide shards: small parts share a shard, a large part is cut into a grid.
-    both = ev.groupBy("part").agg(F.count(F.lit(1)).alias("e")).join(tr.groupBy("part").agg(F.count(F.lit(1)).alias("t")), "part")
-    both = materialize(both)
-    sums = both.agg(F.sum("e").alias("e"), F.sum("t").alias("t")).first()
-    shards = max(1, -(-(sums["e"] or 0) // SHARD_PAIRS), -(-(sums["t"] or 0) // STREAM_PAIRS))
-    shards = max(shards, min(2 * evaluation.sparkSession.sparkContext.defaultParallelism, (sums["t"] or 0) // 2000 + 1))
-    grid = both.select(
-        "part",
-        F.greatest(F.lit(1), F.ceil(F.col("e") / SHARD_PAIRS)).cast("int").alias("es"),
-        F.greatest(F.lit(1), F.ceil(F.col("t") / STREAM_PAIRS)).cast("int").alias("ts"),
-    ).withColumn("big", (F.col("es") > 1) | (F.col("ts") > 1))
-    shard = F.when(F.col("big"), F.col("part")).otherwise(F.pmod(F.col("part"), F.lit(shards)))
-
-    keys = ("shard", "row", "column", "big")
-
-    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
-        rows = side.join(grid, "part")
-        mine = F.pmod(F.xxhash64("other"), F.col(own)).cast("int")
-        rows = rows.withColumn(own, mine).withColumn(other, F.explode(F.expr(f"sequence(0, {other} - 1)")))
-        return rows.select("anchor", "other", "back", "k", *(c.alias(f"{own}_{name}") for name, c in zip(keys, (shard, F.col("es"), F.col("ts"), F.col("big")))))
-
-    left, right = dealt(ev, "es", "ts"), dealt(tr, "ts", "es")
-    hits = left.groupBy(*(f"es_{x}" for x in keys)).cogroup(right.groupBy(*(f"ts_{x}" for x in keys))).applyInPandas(lambda l, r: _match(l, r), "anchor string, eval_other string, train_other string, edits int")
+    """(ea, eb, ta, tb, edits, prefix, suffix): each distinct evaluation pair (ea <= eb) with each distinct training pair (ta <= tb) that equals it or has one
+    end equal and the other within one edit; prefix, suffix: its equal characters from the start and from the end, as far as the searches went. Both inputs have columns a <= b without nulls.
+
+    A shard with more readings than SHARD_PAIRS has several indexes, dealt by the hash of `other`; all its training readings stream through each of them,
+    in as many tasks as STREAM_PAIRS asks for.
+    """
+    ev, tr = materialize(_readings(evaluation)), materialize(_readings(training))
+    n, m = ev.count(), tr.count()
+    shards = max(1, -(-n // SHARD_PAIRS), min(2 * evaluation.sparkSession.sparkContext.defaultParallelism, n // 2000 + 1, m // 2000 + 1))
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
+    ev, tr = ev.withColumn("shard", shard), tr.withColumn("shard", shard)
+    held = ev.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_PAIRS).cast("int").alias("blocks"))
+    grid = held.join(tr.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / STREAM_PAIRS).cast("int").alias("streams")), "shard")
+    grid = materialize(grid)  # a row a shard: n / SHARD_PAIRS or 2 x cores
+    hashed = F.xxhash64(F.lit(1), "other")
+    index = ev.join(grid, "shard").select("anchor", "other", "shard", F.pmod(hashed, F.col("blocks")).cast("int").alias("block")).groupBy("shard", "block").applyInPandas(_index, "shard int, block int, data binary")
+    index = materialize(index).join(grid, "shard").select("shard", "block", "data", F.explode(F.expr("sequence(0, streams - 1)")).alias("stream"))
+    asked = tr.join(grid, "shard").select(
+        "anchor", "other", F.col("shard").alias("to"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("to_block"), F.pmod(hashed, F.col("streams")).cast("int").alias("to_stream")
+    )
+    hits = index.groupBy("shard", "block", "stream").cogroup(asked.groupBy("to", "to_block", "to_stream")).applyInPandas(_stream, _HITS)
     return (
         hits.select(
-            F.least("anchor", "eval_other").alias("ea"), F.greatest("anchor", "eval_other").alias("eb"), F.least("anchor", "train_other").alias("ta"), F.greatest("anchor", "train_other").alias("tb"), "edits"
+            F.least("anchor", "eval_other").alias("ea"), F.greatest("anchor", "eval_other").alias("eb"), F.least("anchor", "train_other").alias("ta"), F.greatest("anchor", "train_other").alias("tb"), "edits", "prefix", "suffix"
         )
         .groupBy("ea", "eb", "ta", "tb")
-        .agg(F.min("edits").alias("edits"))
+        .agg(F.min("edits").alias("edits"), F.max("prefix").alias("prefix"), F.max("suffix").alias("suffix"))
     )
 
 

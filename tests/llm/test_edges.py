@@ -81,8 +81,32 @@ def test_index_finds_maximal_matches():
     import numpy as np
 
     index = overlap.FMIndex(["P1", "P1", "P2"], ["abcd", "abxd", "abcd"])
-    p, r, e = index.search(["P1", "P9", "P2"], ["abcd", "abcd", "abd"], np.zeros(3, np.int64))
+    lo, hi = index.find(["P1", "P9", "P2", "P"])
+    assert (hi - lo).tolist() == [2, 0, 1, 0]
+    p, r, e, span = index.search(lo, hi, ["abcd", "abcd", "abd", "abcd"], np.zeros(4, np.int64))
     assert sorted(set(zip(p.tolist(), r.tolist(), e.tolist()))) == [(0, 0, 0), (0, 1, 1), (2, 2, 1)]
+    assert max(s for i, j, s in zip(p, r, span) if (i, j) == (0, 1)) == 1
+
+
+def test_spans_of_both_sides_are_merged():
+    import pandas as pd
+
+    work = overlap.ShardIndex(["P1", "P1", "P2"], ["abcdefgh", "abcxefgh", "zzz"])
+    rows = work.stream(pd.Series(["P1", "P2"]), pd.Series(["abcdefgh", "zz"])).sort_values("eval_other")
+    assert rows[["eval_other", "train_other", "edits", "prefix", "suffix"]].values.tolist() == [["abcdefgh", "abcdefgh", 0, 8, 8], ["abcxefgh", "abcdefgh", 1, 0, 4], ["zzz", "zz", 1, 2, 2]]
+
+
+def test_wavelet_counts():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n, sigma in ((1, 2), (64, 3), (1000, 40), (70_000, 300), (65_536, 5)):
+        text = rng.integers(1, sigma + 1, n)
+        w = overlap.Wavelet(text)
+        i, c = rng.integers(0, n + 1, 300), rng.integers(1, sigma + 1, 300)
+        assert w.rank(c, i).tolist() == [int((text[:x] == y).sum()) for x, y in zip(i, c)]
+        at = rng.integers(0, n, 300)
+        assert w.at(at).tolist() == text[at].tolist()
 
 
 def test_copies(make_edges):
