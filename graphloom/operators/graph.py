@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphloom.operators.ranking import sorted_rank
-from graphloom.storage import materialize
+from graphloom.storage import discard, materialize
 
 
 def enabled(edges: DataFrame, flags: dict[str, bool], column: str = "relation_type") -> DataFrame:
@@ -61,19 +61,30 @@ def fold_embeddings(ids: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, a: str = "source_id", b: str = "target_id") -> DataFrame:
-    """`node`, `component` (the smallest node of it): smallest labels travel along edges and along labels until nothing changes. Null ends drop out."""
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    both = materialize(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("l"))
-        step = labels.join(near, F.col("node") == F.col("u"), "left").select("node", "label", F.least("label", F.coalesce("l", "label")).alias("new"))
-        jump = materialize(step.join(step.select(F.col("node").alias("new"), F.col("new").alias("far")), "new").select("node", F.col("label").alias("old"), F.least("new", "far").alias("label")))
-        labels = jump.select("node", "label")
-        if jump.where("label <> old").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
+    """`node`, `component` (the smallest node of it). Null ends drop out.
+
+    Rounds of contraction: every node points to the smallest of itself and its neighbours, pointers are followed once, and links between nodes of one label fall away, so later rounds
+    hold only the labels that still touch others. Pointers of all rounds are then followed back.
+    """
+    pairs = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(f"{a} is not null and {b} is not null").distinct()
+    links = materialize(pairs)
+    nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    rounds = []
+    live = links.where("u <> v")
+    while not live.isEmpty():
+        both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        point = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("to")))
+        jump = materialize(point.join(point.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")))
+        rounds.append(jump)
+        s = live.join(jump.select(F.col("node").alias("u"), F.col("to").alias("x")), "u").join(jump.select(F.col("node").alias("v"), F.col("to").alias("y")), "v")
+        live = materialize(s.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).where("u <> v").distinct())
+        discard(point)
+    out = nodes.select("node", F.col("node").alias("component"))
+    for jump in rounds:
+        out = out.join(jump.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return out
 
 
 def first_per_key(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """The first row of each key by a total order."""
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+    """The first row of each key by a total order; nulls come last."""
+    return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*(F.col(o).asc_nulls_last() for o in order)))).where("_r = 1").drop("_r")

@@ -21,14 +21,14 @@ from graphloom.operators import similarity as V
 from graphloom.operators import splits as X
 from graphloom.schema import KINDS, RELATIONS, UNKNOWN_PRIORITY, priority
 from graphloom.sources.sinks import missing
-from graphloom.storage import materialize, spread, table
+from graphloom.storage import materialize, table
 
 SEED = 514
 FOLDS = 5
 
 
 def raw(spark, d):
-    return E.normalized(spread(table(spark, d, "canonical_interaction").drop("score_note", "split_name", "recorded_at", "loaded_at"), "interaction_id", factor=1))
+    return E.normalized(table(spark, d, "canonical_interaction"))
 
 
 def merged(spark, d):
@@ -318,10 +318,14 @@ def cold_kfold(spark, d):
     return X.cold_folds(materialize(_molecules(merged(spark, d))), FOLDS, SEED)
 
 
-@query(
-    f"with {MERGED}, big as (select * from m where target_id in (select target_id from m group by 1 having count(*) >= 5)) select {_KEYS},"
-    f" ((row_number() over (partition by target_id order by {_md5('warm', 'source_id', 'target_id', 'relation_type')}) - 1 + cast('0x' || substr({_md5('turn', 'target_id')}, 1, 8) as bigint)) % 5 + 1)::integer as fold from big"
-)
+#: A target's edges are dealt in turn if every target has FOLDS edges; else all edges are divided plainly.
+_WARM = f"""with {MERGED}, least_ as (select min(n) as n from (select count(*) as n from m group by target_id)),
+ rk as (select {_KEYS}, row_number() over (order by {_md5('warm', 'source_id', 'target_id', 'relation_type')}, source_id, target_id, relation_type) - 1 as r, count(*) over () as n,
+ row_number() over (partition by target_id order by {_md5('warm', 'source_id', 'target_id', 'relation_type')}) - 1 as rt, cast('0x' || substr({_md5('turn', 'target_id')}, 1, 8) as bigint) as turn from m)
+ select {_KEYS}, case when (select n from least_) >= {FOLDS} then (rt + turn) % {FOLDS} + 1 else {_fold('r', 'rk.n', FOLDS)} end::integer as fold from rk"""
+
+
+@query(_WARM)
 def warm_kfold(spark, d):
     return X.warm_folds(materialize(merged(spark, d)), FOLDS, SEED).select("source_id", "target_id", "relation_type", "fold")
 
@@ -449,7 +453,7 @@ def background_without_leaks(spark, d):
     return out.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.col("edge_type").alias("relation_type"))
 
 
-_LOCAL = "loc as (select global_id, row_number() over (order by case when node_type = 'molecule' then 0 else 1 end, global_id) - 1 as local_id from node_features where global_id % 2 = 0)"
+_LOCAL = "loc as (select global_id, row_number() over (order by case when node_type = 'molecule' then 0 else 1 end, global_id) - 1 as local_id from node_features where global_id is not null)"
 
 
 def _local(spark, d):
@@ -543,7 +547,10 @@ def group_statistics(spark, d):
     return R.group_statistics(merged(spark, d), "relation_type", "raw_score")
 
 
-@query("select 'features ' || coalesce(node_type, 'null') as part, count(*) filter (where features is null or len(list_filter(features, lambda x: x is null or isnan(x) or isinf(x))) > 0) as problems from node_features group by node_type")
+@query(
+    f"with {ENTITIES} select 'features ' || coalesce(node_type, 'null') as part, count(*) filter (where features is null or len(list_filter(features, lambda x: x is null or isnan(x) or isinf(x))) > 0) as problems from node_features group by node_type"
+    " union all select 'edges ' || coalesce(relation_type, 'null') as part, count(*) filter (where source_id not in (select entity_id from e) or target_id not in (select entity_id from e)) as problems from m group by relation_type"
+)
 def graph_health(spark, d):
     m = materialize(merged(spark, d))
     ids = materialize(N.logic_ids(N.manifest(m)))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,16 +36,40 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Writes df as a table of the shared folder and reads it again.
 
     The result no longer depends on executors' disks or on earlier stages, so it survives lost executors.
-    The tables are deleted when the Python process ends.
+    The table is deleted by `discard`, at the end of the `scratch` block it was made in, or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{_run}/{uuid.uuid4().hex}"
     if not _started:
         _started.append(spark)
         atexit.register(_clean, spark, f"{shared_dir(spark)}/graphloom-{_run}")
+    if _scopes:
+        _scopes[-1].append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._graphloom_table = path
+    return out
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized within the block are deleted at its end; results must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _clean(spark, path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a materialized DataFrame that nothing will read again; any other DataFrame is left alone."""
+    if path := getattr(df, "_graphloom_table", None):
+        _clean(df.sparkSession, path)
 
 
 _started: list[SparkSession] = []
@@ -63,19 +88,17 @@ def _clean(spark: SparkSession, path: str) -> None:
 
 
 def spread(df: DataFrame, *keys: str, factor: int = 3) -> DataFrame:
-    """Repartitions an input of few files by keys, so that costly work uses all cores; a large input stays as it is."""
-    want = factor * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want, *keys) if df.rdd.getNumPartitions() < want else df
+    """Repartitions an input by keys if its scan gives fewer tasks than would use all cores; a large input stays as it is.
+
+    The number of tasks is told from the plan's size in bytes, which runs no job.
+    """
+    spark = df.sparkSession
+    want = factor * spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(want, *keys) if size < want * split else df
 
 
 def bucket(*cols, n: int):
     """A hash bucket from 0 to n-1 of the given columns."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
-
-
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("file:") or os.path.isabs(path)
