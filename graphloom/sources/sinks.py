@@ -18,9 +18,24 @@ def write_nodes(nodes: DataFrame, path: str, csv: bool = False) -> None:
     (ordered.write.mode("overwrite").option("header", True).csv if csv else ordered.write.mode("overwrite").parquet)(path)
 
 
-def write_features(vectors: DataFrame, path: str) -> None:
-    """`global_id`, `features`; keyed by id, so no order has to be kept."""
-    vectors.select("global_id", F.col("features").cast("array<float>").alias("features")).write.mode("overwrite").parquet(path)
+def write_features(vectors: DataFrame, path: str, model: str | None = None) -> None:
+    """`global_id`, `features`; keyed by id, so no order has to be kept. Beside it, in `<path>.meta`, one row: `model`, `n_rows`, `dim` (null unless all vectors have one length)."""
+    out = vectors.select("global_id", F.col("features").cast("array<float>").alias("features"))
+    out.write.mode("overwrite").parquet(path)
+    size = F.size("features")
+    meta = out.sparkSession.read.schema(out.schema).parquet(path).agg(F.lit(model).cast("string").alias("model"), F.count(F.lit(1)).alias("n_rows"), F.when(F.min(size) == F.max(size), F.max(size)).cast("int").alias("dim"))
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}.meta")
+
+
+def load_features(spark: SparkSession, path: str, model: str | None = None, rows: int | None = None, dim: int | None = None) -> DataFrame:
+    """The vectors written by `write_features`. ValueError if the table or its metadata is missing, or the metadata differ from what is asked for."""
+    if not exists(spark, path) or not exists(spark, f"{path}.meta"):
+        raise ValueError(f"{path} has no features or no metadata")
+    meta = spark.read.parquet(f"{path}.meta").first()
+    for what, want in (("model", model), ("n_rows", rows), ("dim", dim)):
+        if want is not None and meta[what] != want:
+            raise ValueError(f"{path}: {what} is {meta[what]}, not {want}")
+    return spark.read.parquet(path)
 
 
 def write_graph(edges: DataFrame, path: str) -> None:

@@ -41,12 +41,16 @@ def test_links_and_whitelist(spark, tmp_path):
     with gzip.open(tmp_path / "a.gz", "wt") as f:
         f.write("#string_protein_id\talias\tsource\n9606.A\tP2\tEnsembl_UniProt_AC\n9606.A\tP1\tEnsembl_UniProt_AC\n9606.B\tP5\tUniProt_AC\n9606.C\tX\tother\n")
     got = A.links(spark, str(tmp_path / "l.gz"), str(tmp_path / "a.gz"))
-    assert rows(got.select("source_id", "target_id", "raw_score")) == [("P1", "P5", 700.0)]
+    assert rows(got.select("source_id", "target_id", "raw_score")) == [("P2", "P5", 700.0)]  # the first alias by line
+    with gzip.open(tmp_path / "t.gz", "wt") as f:
+        f.write("protein1\tprotein2\tcombined_score\n9606.A\t9606.B\t700\n9606.A\t9606.B\t800\n")
+    got = A.SOURCES.read(spark, {"stringdb": {"links": str(tmp_path / "t.gz"), "aliases": str(tmp_path / "a.gz")}})
+    assert rows(got.select("source_id", "target_id", "raw_score")) == [("P2", "P5", 700.0)]
     (tmp_path / "w.tsv").write_text("Entry\tReviewed\tOrganism (ID)\nP05067\treviewed\t9606\nQ1\tunreviewed\t9606\nQ2\treviewed\t10090\n")
     assert rows(A.whitelist(spark, str(tmp_path / "w.tsv"))) == [("P05067",)]
     with gzip.open(tmp_path / "s.gz", "wt") as f:
         f.write("5\tATP\n3\tatp\nbroken\n7\t\n")
-    assert rows(A.synonym_dictionary(spark, str(tmp_path / "s.gz"))) == [("atp", 3)]
+    assert rows(A.synonym_dictionary(spark, str(tmp_path / "s.gz"))) == [("atp", 5)]
 
 
 def test_registry_and_cache(spark, tmp_path):
@@ -82,3 +86,56 @@ def test_stream(spark, tmp_path):
     write(batch, 0)
     write(batch, 1)
     assert spark.read.parquet(str(tmp_path / "ids")).count() == 2
+
+
+def test_the_first_row_of_a_key_is_kept_and_a_null_score_comes_last(spark, tmp_path):
+    c = A.BINDINGS.names
+    head = [c[k] for k in ("structure", "molecule", "organism", "ki", "ic50", "kd", "protein", "sequence")]
+    data = [["C", "1", "Homo sapiens", x, "", "", "P1", ""] for x in ("9", "5")]
+    (tmp_path / "b.tsv").write_text("\n".join("\t".join(r) for r in [head, *data, ["too", "short"]]) + "\n\n")
+    assert [r.raw_score for r in A.bindings(spark, str(tmp_path / "b.tsv")).collect()] == [9.0]
+    assert [(r.lines, r.bad) for r in A.rejected(spark, str(tmp_path / "b.tsv")).collect()] == [(3, 1)]
+    plain = spark.createDataFrame([("1", "P1", "a", None), ("1", "P1", "a", 3.0)], "source_id string, target_id string, relation_type string, raw_score double")
+    assert [r.raw_score for r in A.finished(plain, "x").collect()] == [3.0]
+
+
+def test_bounds_of_a_source(spark, tmp_path):
+    from graphloom.operators.filters import Bounds
+
+    c = A.BINDINGS.names
+    head = [c[k] for k in ("structure", "molecule", "organism", "ki", "ic50", "kd", "protein", "sequence")]
+    data = [[x, str(i), "Homo sapiens", "1", "", "", "P1", ""] for i, x in enumerate(("C", "CC", "CCC"))]
+    (tmp_path / "b.tsv").write_text("\n".join("\t".join(r) for r in [head, *data]) + "\n")
+    props = spark.createDataFrame([("C", 10.0, 1.0), ("CC", 500.0, 1.0)], "structure string, MW double, LogP double")
+    for i, n in enumerate(("HBD", "HBA", "QED", "SA_Score")):
+        props = props.selectExpr("*", f"1.0D as {n}")
+    read = lambda **s: A.SOURCES.read(spark, {"bindingdb": {"path": str(tmp_path / "b.tsv"), **s}}, cache=str(tmp_path / "cache"))
+    assert rows(read(properties=props, bounds=Bounds(mw_max=100)).select("source_id")) == [("0",)]
+    assert read().count() == 3
+    (tmp_path / "b.tsv").write_text("\t".join(head) + "\n")
+    assert read().count() == 3  # from the cache
+    assert A.SOURCES.cached(spark, "bindingdb", {"path": str(tmp_path / "b.tsv")}, str(tmp_path / "cache"), force=True).count() == 0
+
+
+def test_entries_of_a_document_are_read_as_a_stream():
+    import io
+
+    entry = {"a": ["}{", 'q"', 1.5e3], "b": {"c": None}}
+    doc = {"release": [1, {"data": 2}], "data": {f"1.{i}": entry for i in range(50)}, "end": "x"}
+    for text in (json.dumps(doc), json.dumps(doc, indent=3)):
+        got = list(A.top_entries(io.StringIO(text), step=7))
+        assert [k for k, _ in got] == list(doc["data"]) and all(json.loads(v) == entry for _, v in got)
+    assert list(A.top_entries(io.StringIO('{"data": {}}'))) == [] == list(A.top_entries(io.StringIO("{}")))
+
+
+def test_features_with_metadata(spark, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "f")
+    sinks.write_features(spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "global_id bigint, features array<double>"), path, "m1")
+    assert sinks.load_features(spark, path, "m1", 2, 2).count() == 2
+    for wrong in ({"model": "m2"}, {"rows": 3}, {"dim": 5}):
+        with pytest.raises(ValueError):
+            sinks.load_features(spark, path, **wrong)
+    with pytest.raises(ValueError):
+        sinks.load_features(spark, str(tmp_path / "none"))
