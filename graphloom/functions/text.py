@@ -20,7 +20,7 @@ def stripped(c: Column) -> Column:
 def plain_id(c: Column) -> Column:
     """A trimmed id; a whole number that became a float is a whole number again. Blank gives null."""
     t = stripped(c)
-    return F.when(t.endswith(".0") & t.rlike(r"^[0-9]+\.0+$"), F.regexp_replace(t, r"\.0+$", "")).otherwise(t)
+    return F.when(t.endswith("0") & t.rlike(r"^[0-9]+\.0+$"), F.regexp_replace(t, r"\.0+$", "")).otherwise(t)
 
 
 def id_number(c: Column) -> Column:

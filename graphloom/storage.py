@@ -32,6 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new place in the shared folder, deleted as tables of `materialize` are."""
+    path = f"{shared_dir(spark)}/graphloom-{_run}/{uuid.uuid4().hex}"
+    if not _started:
+        _started.append(spark)
+        atexit.register(_clean, spark, f"{shared_dir(spark)}/graphloom-{_run}")
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Writes df as a table of the shared folder and reads it again.
 
@@ -39,12 +50,7 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     The table is deleted by `discard`, at the end of the `scratch` block it was made in, or when the Python process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom-{_run}/{uuid.uuid4().hex}"
-    if not _started:
-        _started.append(spark)
-        atexit.register(_clean, spark, f"{shared_dir(spark)}/graphloom-{_run}")
-    if _scopes:
-        _scopes[-1].append(path)
+    path = fresh_path(spark)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
