@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import id_number
+from graphloom.functions.text import id_number, positive_id
 from graphloom.operators.edges import sources_of
 from graphloom.operators.ranking import sorted_rank
+from graphloom.operators.selectors import EntitySelector, select_entities
 from graphloom.schema import KINDS, metatype, priority
 from graphloom.storage import materialize
 
@@ -37,6 +38,21 @@ def enrich(entities: DataFrame, structures: DataFrame) -> DataFrame:
     return entities.join(side, "entity_id", "left").withColumn("structure", F.coalesce("structure", "_s")).drop("_s").select(*entities.columns)
 
 
+def to_enrich(entities: DataFrame, kind: str) -> DataFrame:
+    """`entity_id` of the entities whose structure is unknown: of kind `molecule` those of a molecule, drug or ligand type with a positive whole id (as text, each once), of kind `protein` those of type protein."""
+    open_ = entities.where(F.col("structure").isNull() & F.col("entity_id").isNotNull())
+    if kind == "protein":
+        return open_.where("entity_type = 'protein'").select("entity_id").distinct()
+    ids = open_.where(F.col("entity_type").rlike("molecule|drug|ligand")).select(positive_id(F.col("entity_id")).alias("i"))
+    return ids.where("i is not null").select(F.col("i").cast("string").alias("entity_id")).distinct()
+
+
+def ids_of(entities: DataFrame, selected: EntitySelector | Column) -> DataFrame:
+    """`entity_id` of the entities that satisfy a selector or a condition."""
+    rows = entities.where(F.coalesce(selected, F.lit(False))) if isinstance(selected, Column) else select_entities(entities, selected)
+    return rows.select("entity_id").where("entity_id is not null").distinct()
+
+
 def mixed_types(entities: DataFrame) -> DataFrame:
     """`entity_type`, `numbers`, `texts`: types whose ids are partly numbers, partly text; they have no natural order."""
     number = id_number(F.col("entity_id")).isNotNull()

@@ -63,26 +63,46 @@ def fold_embeddings(ids: DataFrame, vectors: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "source_id", b: str = "target_id") -> DataFrame:
     """`node`, `component` (the smallest node of it). Null ends drop out.
 
-    Rounds of contraction: every node points to the smallest of itself and its neighbours, pointers are followed once, and links between nodes of one label fall away, so later rounds
-    hold only the labels that still touch others. Pointers of all rounds are then followed back.
+    Rounds of contraction: every label points to the one with the least hash (another in each round) among itself and its neighbours, pointers are followed once, and links within a label
+    fall away, so a round leaves less than half of the labels that still touch others, whatever the shape of the graph.
     """
     pairs = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(f"{a} is not null and {b} is not null").distinct()
     links = materialize(pairs)
-    nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    rounds = []
-    live = links.where("u <> v")
+    labels = links.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("label"))
+    live, no = links.where("u <> v"), 0
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        point = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("to")))
+        least = F.min(F.struct(F.xxhash64(F.lit(no), "v").alias("h"), F.col("v").alias("to")))
+        own = F.struct(F.xxhash64(F.lit(no), "u").alias("h"), F.col("u").alias("to"))
+        point = both.groupBy("u").agg(least.alias("m")).select(F.col("u").alias("node"), F.least("m", own).getField("to").alias("to"))
+        point = materialize(point)
         jump = materialize(point.join(point.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")))
-        rounds.append(jump)
         s = live.join(jump.select(F.col("node").alias("u"), F.col("to").alias("x")), "u").join(jump.select(F.col("node").alias("v"), F.col("to").alias("y")), "v")
-        live = materialize(s.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).where("u <> v").distinct())
+        after = materialize(s.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).where("u <> v").distinct())
+        labels = labels.join(jump.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        if no % 4 == 3:
+            labels = materialize(labels)  # plans stay short
         discard(point)
-    out = nodes.select("node", F.col("node").alias("component"))
-    for jump in rounds:
-        out = out.join(jump.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return out
+        discard(live)
+        live, no = after, no + 1
+    smallest = labels.groupBy("label").agg(F.min("node").alias("component"))
+    return labels.join(smallest, "label").select("node", "component")
+
+
+def communities(edges: DataFrame, rounds: int = 5, a: str = "source_id", b: str = "target_id") -> DataFrame:
+    """`node`, `community` by label propagation: in each round every node takes the label most of its neighbours have, itself included; ties go to the smallest label.
+
+    Repeated edges count once, loops and null ends not at all. Labels are counted before they are compared, so a hub costs a task no more than its distinct labels.
+    """
+    pairs = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
+    links = materialize(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    nodes = links.select("u").distinct()
+    links = links.unionByName(nodes.select("u", F.col("u").alias("v")))
+    labels = nodes.select(F.col("u").alias("node"), F.col("u").alias("community"))
+    for _ in range(rounds):
+        votes = links.join(labels.select(F.col("node").alias("v"), "community"), "v").groupBy("u", "community").agg(F.count(F.lit(1)).alias("n"))
+        labels = materialize(votes.groupBy(F.col("u").alias("node")).agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).getField("community").alias("community")))
+    return labels
 
 
 def first_per_key(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:

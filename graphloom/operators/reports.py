@@ -79,3 +79,63 @@ def graph_health(edges: DataFrame, nodes: int, features: DataFrame) -> DataFrame
     bad = F.col("features").isNull() | F.exists("features", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     b = features.groupBy(F.concat(F.lit("features "), F.coalesce("node_type", F.lit("null"))).alias("part")).agg(F.count(F.when(bad, 1)).alias("problems"))
     return a.unionByName(b)
+
+
+def pivot_mean(df: DataFrame, row: str, column: str, value: str, values: list) -> DataFrame:
+    """A row for each value of `row`: the whole part of the mean of `value` for each of the given values of `column` (null if there is none), as columns in the order given."""
+    cells = [F.avg(F.when(F.col(column) == v, F.col(value))).cast("bigint").alias(str(v)) for v in values]
+    return df.groupBy(row).agg(*cells)
+
+
+def by_largest(pivot: DataFrame, row: str) -> DataFrame:
+    """The same with the column of the largest entry first."""
+    names = [c for c in pivot.columns if c != row]
+    top = pivot.agg(*(F.max(c).alias(c) for c in names)).first()
+    return pivot.select(row, *sorted(names, key=lambda c: (top[c] is None, -(top[c] or 0), c)))
+
+
+def pattern_exceptions(df: DataFrame, column: str, pattern: str) -> DataFrame:
+    """`value`, `n`: values that are not null and do not match, and how often."""
+    return df.where(F.col(column).isNotNull() & ~F.col(column).rlike(pattern)).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def first_mismatches(df: DataFrame, good: Column, order: str, n: int = 5) -> DataFrame:
+    """The first n rows, by a column, for which a condition does not hold or is null."""
+    return df.where(~F.coalesce(good, F.lit(False))).orderBy(order).limit(n)
+
+
+def nested_coverage(proteins: DataFrame, accessions: DataFrame, entries: DataFrame, organism: str = "homo sapiens") -> DataFrame:
+    """`measure`, `n`: entries; entries with a protein of the organism; such proteins, with and without accessions; and `source <name>` for the sources they state.
+
+    `proteins` has entry_id, protein_no, organism, source; `accessions` entry_id, protein_no, accession; `entries` entry_id.
+    """
+    own = proteins.where(F.contains(F.lower("organism"), F.lit(organism)))
+    named = accessions.where(F.trim("accession") != "").select("entry_id", "protein_no", F.lit(True).alias("has")).distinct()
+    own = own.join(named, ["entry_id", "protein_no"], "left")
+    of = lambda name, c: F.struct(F.lit(name).alias("measure"), c.alias("n"))
+    totals = own.agg(F.count_distinct("entry_id").alias("e"), F.count(F.lit(1)).alias("p"), F.count("has").alias("h"))
+    totals = totals.select(F.explode(F.array(of("entries with organism", F.col("e")), of("proteins", F.col("p")), of("proteins with accessions", F.col("h")), of("proteins without accessions", F.col("p") - F.col("h")))).alias("x")).select("x.*")
+    sources = own.where("source is not null").groupBy(F.concat(F.lit("source "), "source").alias("measure")).agg(F.count(F.lit(1)).alias("n"))
+    return entries.agg(F.count(F.lit(1)).alias("n")).select(F.lit("entries").alias("measure"), "n").unionByName(totals).unionByName(sources)
+
+
+def consistency(manifest: DataFrame, edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """`problem`, `n`: ids of the manifest that are repeated or null, ends of edges it lacks, entities without an edge, and vectors (column entity_id) of entities it lacks."""
+    ids = manifest.select("entity_id").where("entity_id is not null").distinct()
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("entity_id")).where("entity_id is not null").distinct()
+    counted = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("problem"), "n")
+    out = counted(manifest.groupBy("entity_id").count().where("count > 1 or entity_id is null"), "repeated or null ids")
+    for df, name in ((ends.join(ids, "entity_id", "left_anti"), "ends without entity"), (ids.join(ends, "entity_id", "left_anti"), "entities without edge"), (vectors.select("entity_id").distinct().join(ids, "entity_id", "left_anti"), "vectors without entity")):
+        out = out.unionByName(counted(df, name))
+    return out
+
+
+def modularity(edges: DataFrame, communities: DataFrame, a: str = "source_id", b: str = "target_id") -> DataFrame:
+    """`modularity` (9 decimals) of communities (node, community) in the undirected simple graph of the edges; null without edges."""
+    pairs = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
+    c = communities.select("node", "community")
+    rows = pairs.join(c.select(F.col("node").alias("u"), F.col("community").alias("cu")), "u").join(c.select(F.col("node").alias("v"), F.col("community").alias("cv")), "v")
+    ends = rows.select(F.explode(F.array(F.struct(F.col("cu").alias("c"), (F.col("cu") == F.col("cv")).cast("int").alias("same")), F.struct(F.col("cv").alias("c"), F.lit(0).alias("same")))).alias("x")).select("x.*")
+    per = ends.groupBy("c").agg(F.count(F.lit(1)).alias("degree"), F.sum("same").alias("inside"))
+    total = per.agg((F.sum("degree") / 2).alias("m"), F.sum("inside").alias("inside"), F.sum(F.col("degree").cast("double") * F.col("degree")).alias("squares"))
+    return total.select(F.round(F.col("inside") / F.col("m") - F.col("squares") / (4 * F.col("m") * F.col("m")), 9).alias("modularity"))

@@ -28,6 +28,15 @@ def uniform(df: DataFrame, fraction: float, seed: int, purpose: str = "uniform",
     return df if fraction >= 1 else exact(df, math.ceil(df.count() * fraction), seed, purpose, key)
 
 
+def sample(df: DataFrame, n: int | None = None, fraction: float | None = None, seed: int = 514, key: tuple[str, ...] = KEYS) -> DataFrame:
+    """Exactly n rows if n is given (ValueError if there are fewer), else `fraction` of them, rounded half to even; all rows from a fraction of 1, or if neither is given."""
+    if n is None:
+        if fraction is None or fraction >= 1:
+            return df
+        n = round(fraction * df.count())
+    return exact(df, n, seed, "sample", key)
+
+
 @dataclass(frozen=True)
 class Stratum:
     """Edges for which `where` (SQL or a Column) holds (and no earlier stratum's does): a fraction of them, or `ratio` edges for each edge of the stratum `ratio_to`."""

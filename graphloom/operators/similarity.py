@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,6 +62,11 @@ def similarity(cos: Column, metric: str = "squared") -> Column:
     return cos if metric == "cosine" else 1 - 2 * F.pow(1 - cos, F.lit(2.0))
 
 
+def scaled(cos: Column) -> Column:
+    """A cosine moved to 0..1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cos + 1) / 2))
+
+
 def _threshold(s: Column, t: Column, thresholds: dict[tuple[str, str], float]) -> Column:
     out = F.lit(NEVER)
     for (a, b), x in thresholds.items():
@@ -68,6 +74,11 @@ def _threshold(s: Column, t: Column, thresholds: dict[tuple[str, str], float]) -
     return out
 
 
+def relation_name(a: Column, b: Column) -> Column:
+    """The edge type of two entity types: the one of higher priority first."""
+    return F.when(priority(a) <= priority(b), F.concat(a, F.lit("_"), b, F.lit("_similarity"))).otherwise(F.concat(b, F.lit("_"), a, F.lit("_similarity")))
+
+
 def candidates(vectors: DataFrame, types: DataFrame, k: int = 10, metric: str = "squared", symmetric: bool = False, class_col: str | None = None, id_col: str = "global_id", vec_col: str = "features") -> DataFrame:
     """`source`, `target`, `edge_type`, `similarity` (6 decimals) of all neighbours, whatever thresholds and flags say.
 
@@ -79,7 +90,7 @@ def candidates(vectors: DataFrame, types: DataFrame, k: int = 10, metric: str =
     swap = priority(F.col("ti")) > priority(F.col("tj"))
     pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
     out = out.select(pick("i", "j").alias("source"), pick("j", "i").alias("target"), pick("ti", "tj").alias("source_type"), pick("tj", "ti").alias("target_type"), F.round(similarity(F.col("cos"), metric), 6).alias("similarity"))
-    return out.withColumn("edge_type", F.concat("source_type", F.lit("_"), "target_type", F.lit("_similarity")))
+    return out.withColumn("edge_type", relation_name(F.col("source_type"), F.col("target_type")))
 
 
 def similarity_edges(found: DataFrame, thresholds: dict[tuple[str, str], float] | None = None, flags: dict[str, bool] | None = None) -> DataFrame:
@@ -106,16 +117,48 @@ def tanimoto(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
+def fingerprint(structure: Column, n: int = 3, bits: int = 2048) -> Column:
+    """The set bits, as a sorted array, of a structure's pieces of n letters, each hashed to one of so many bits; shorter structures have none, null gives null."""
+    return F.array_sort(F.array_distinct(F.transform(pieces(structure, n), lambda g: hash_bit(g, bits))))
+
+
+def pieces(text: Column, n: int) -> Column:
+    """All pieces of n letters, in order."""
+    size = F.length(text) - (n - 1)
+    return F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda i: F.substr(text, i, F.lit(n)))).when(text.isNotNull(), F.array().cast("array<string>"))
+
+
+def hash_bit(piece: Column, bits: int) -> Column:
+    return (F.conv(F.substring(F.md5(piece), 1, 8), 16, 10).cast("bigint") % bits).cast("int")
+
+
+def cluster_labels(vectors: DataFrame, k: int, seed: int = 514, id_col: str = "global_id", vec_col: str = "features") -> DataFrame:
+    """`id`, `cluster` by k-means over all vectors, which must be of one length without null or NaN; an empty table gives no rows."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = materialize(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")))
+    if rows.isEmpty():
+        return rows.select("id", F.lit(0).alias("cluster"))
+    ready = rows.select("id", array_to_vector("v").alias("features"))
+    return KMeans(k=k, seed=seed).fit(ready).transform(ready).select("id", F.col("prediction").alias("cluster"))
+
+
 def projected(vectors: DataFrame, dim: int, seed: int = 514, id_col: str = "global_id", vec_col: str = "features") -> DataFrame:
     """Vectors brought to another dimension by a seeded random projection, the same in every run."""
 
     @F.pandas_udf("array<float>")
-    def project(v: pd.Series) -> pd.Series:
+    def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        drawn: dict[int, np.ndarray] = {}  # a matrix for each length
+
         def one(x):
             x = np.asarray(x, dtype=np.float64)
-            return (x @ np.random.default_rng([seed, len(x), dim]).standard_normal((len(x), dim)) / math.sqrt(dim)).astype(np.float32)
+            if len(x) not in drawn:
+                drawn[len(x)] = np.random.default_rng([seed, len(x), dim]).standard_normal((len(x), dim)) / math.sqrt(dim)
+            return (x @ drawn[len(x)]).astype(np.float32)
 
-        return v.map(lambda x: None if x is None else one(x))
+        for v in batches:
+            yield v.map(lambda x: None if x is None else one(x))
 
     return vectors.select(F.col(id_col), project(F.col(vec_col)).alias(vec_col))
 

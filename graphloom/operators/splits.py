@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.edges import difference, touching
-from graphloom.operators.ranking import hash_order, hash_rank
+from graphloom.operators.ranking import hash_order, hash_rank, sorted_rank
 from graphloom.operators.sampling import edge_order
 from graphloom.operators.selectors import EntitySelector, InteractionSelector, select_edges, select_entities
 from graphloom.schema import EDGES
@@ -50,6 +50,26 @@ def held_out(df: DataFrame, fraction: float, seed: int, key: tuple[str, ...], pu
     return hash_rank(rows, "_h").withColumn("is_test", F.col("rank") < math.ceil(df.count() * fraction)).drop("_h", "rank")
 
 
+def warm_single(edges: DataFrame, fraction: float, seed: int) -> DataFrame:
+    """Adds `is_test`: true for ceil(rows * fraction) edges, the same share of each target's edges as nearly as whole edges allow (what is left over goes to the largest remainders).
+
+    If a target has a single edge, or the test or training edges are fewer than the targets, the split is plain, as in `held_out`.
+    """
+    per = materialize(edges.groupBy("target_id").agg(F.count(F.lit(1)).alias("_n")))
+    total = per.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("targets"), F.min("_n").alias("least")).first()
+    n = total["n"] or 0
+    test = math.ceil(n * fraction)
+    if not n or total["least"] < 2 or min(test, n - test) < total["targets"]:
+        return held_out(edges, fraction, seed, ("source_id", "target_id", "relation_type"))
+    share = F.col("_n") * F.lit(test)
+    quotas = per.withColumn("_q", F.floor(share / n)).withColumn("_rest", share % n)
+    left = test - quotas.agg(F.sum("_q")).first()[0]
+    ranked = sorted_rank(quotas, -F.col("_rest"), hash_order(seed, "rest", F.col("target_id")), name="_place")
+    quotas = ranked.select(F.col("target_id").alias("_t"), (F.col("_q") + (F.col("_place") < left).cast("int")).alias("_q"))
+    rows = hash_rank(edges.withColumn("_h", edge_order(seed, "single")), "_h", ("target_id",), digits=2)
+    return rows.join(quotas, F.col("target_id").eqNullSafe(F.col("_t"))).withColumn("is_test", F.col("rank") < F.col("_q")).select(*edges.columns, "is_test")
+
+
 @dataclass(frozen=True)
 class SplitConfig:
     """mode `cold` or `warm`; strictness of cold splits `strict` or `informed`; k_folds of 1 or less makes one split by test_fraction."""
@@ -97,8 +117,7 @@ def folds(edges: DataFrame, entities: DataFrame, config: SplitConfig) -> Iterato
     empty = entities.select("entity_id").limit(0)
     many = c.k_folds > 1
     if c.mode == "warm":
-        key = ("source_id", "target_id", "relation_type")
-        dealt = materialize(warm_folds(evaluable, c.k_folds, c.seed) if many else held_out(evaluable, c.test_fraction, c.seed, key).withColumn("fold", F.col("is_test").cast("int")).drop("is_test"))
+        dealt = materialize(warm_folds(evaluable, c.k_folds, c.seed) if many else warm_single(evaluable, c.test_fraction, c.seed).withColumn("fold", F.col("is_test").cast("int")).drop("is_test"))
         for i in range(1, max(1, c.k_folds) + 1):
             test = dealt.where(F.col("fold") == i).drop("fold")
             labels = dealt.where(F.col("fold") != i).drop("fold")

@@ -19,9 +19,11 @@ from graphloom.operators import sampling as S
 from graphloom.operators import selectors as Q
 from graphloom.operators import similarity as V
 from graphloom.operators import splits as X
+from graphloom.operators import features as Y
 from graphloom.schema import KINDS, RELATIONS, UNKNOWN_PRIORITY, priority
+from graphloom.sources import adapters as A
 from graphloom.sources.sinks import missing
-from graphloom.storage import materialize, table
+from graphloom.storage import fresh_path, materialize, table
 
 SEED = 514
 FOLDS = 5
@@ -164,9 +166,7 @@ def mixed_id_types(spark, d):
 
 @query(f"with {MERGED} select distinct source_type, target_type, case when {_priority('source_type')} <= {_priority('target_type')} then source_type || '_' || target_type || '_similarity' else target_type || '_' || source_type || '_similarity' end as edge_type from m")
 def relation_names(spark, d):
-    a, b = F.col("source_type"), F.col("target_type")
-    name = F.when(priority(a) <= priority(b), F.concat(a, F.lit("_"), b, F.lit("_similarity"))).otherwise(F.concat(b, F.lit("_"), a, F.lit("_similarity")))
-    return merged(spark, d).select("source_type", "target_type", name.alias("edge_type")).distinct()
+    return merged(spark, d).select("source_type", "target_type", V.relation_name(F.col("source_type"), F.col("target_type")).alias("edge_type")).distinct()
 
 
 @query(f"with {ENTITIES} select entity_id, entity_type from e where {_meta('entity_type')} = 'molecule' and list_has_any(all_sources, ['gtopdb', 'labfeed'])")
@@ -335,51 +335,69 @@ def single_split(spark, d):
     return X.held_out(materialize(merged(spark, d)), 0.2, SEED, ("source_id", "target_id", "relation_type")).select("source_id", "target_id", "relation_type", "is_test")
 
 
-_SPLIT = f"""with {ENTITIES}, {_COLD}, cold as (select entity_id from cf where fold = 1),
-ev as (select * from m where relation_type in ('interacts_with', 'inhibits')), bg as (select * from m where relation_type not in ('interacts_with', 'inhibits')),
-lab as (select * from ev where source_id not in (select entity_id from cold) and target_id not in (select entity_id from cold))"""
+#: Of every fold k: its cold entities, evaluable and background edges, and the labels left for training.
+_SPLIT = f"""with {ENTITIES}, {_COLD}, folds as (select unnest(range(1, {FOLDS} + 1))::integer as fold), cold as (select entity_id, fold from cf),
+ev as (select m.*, fold from m, folds where relation_type in ('interacts_with', 'inhibits')), bg as (select m.*, fold from m, folds where relation_type not in ('interacts_with', 'inhibits')),
+lab as (select * from ev where (source_id, fold) not in (select entity_id, fold from cold) and (target_id, fold) not in (select entity_id, fold from cold))"""
 
 
 def _split(spark, d):
+    """Merged edges, cold entities with their fold, evaluable edges, background edges."""
     m = materialize(merged(spark, d))
-    cold = X.cold_folds(materialize(_molecules(m)), FOLDS, SEED).where("fold = 1").select("entity_id")
+    cold = materialize(X.cold_folds(materialize(_molecules(m)), FOLDS, SEED))
     ev = m.where(F.col("relation_type").isin("interacts_with", "inhibits"))
-    return m, materialize(cold), ev, E.difference(m, ev), E.touching(ev, cold, keep=False)
+    return m, cold, ev, materialize(E.difference(m, ev))
 
 
-@query(f"{_SPLIT} select {_KEYS} from (select * from lab union all select * from bg) where source_id not in (select entity_id from cold) and target_id not in (select entity_id from cold)")
+def _each_fold(cold, of):
+    """`of` of the cold entities of each fold, one below the other, with `fold`."""
+    out = None
+    for k in range(1, FOLDS + 1):
+        part = of(cold.where(F.col("fold") == k).select("entity_id")).withColumn("fold", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _graph(spark, d, strictness):
+    _, cold, ev, bg = _split(spark, d)
+    graphs = _each_fold(cold, lambda c: X.train_graph(E.touching(ev, c, keep=False), bg, c, "cold", strictness))
+    return graphs.select("fold", "source_id", "target_id", "relation_type")
+
+
+@query(f"{_SPLIT} select fold, {_KEYS} from (select * from lab union all select * from bg) where (source_id, fold) not in (select entity_id, fold from cold) and (target_id, fold) not in (select entity_id, fold from cold)")
 def train_graph_strict(spark, d):
-    _, cold, _, bg, lab = _split(spark, d)
-    return X.train_graph(lab, bg, cold, "cold", "strict").select("source_id", "target_id", "relation_type")
+    return _graph(spark, d, "strict")
 
 
-@query(f"{_SPLIT} select {_KEYS} from (select * from lab union all select * from bg)")
+@query(f"{_SPLIT} select fold, {_KEYS} from (select * from lab union all select * from bg)")
 def train_graph_informed(spark, d):
-    _, cold, _, bg, lab = _split(spark, d)
-    return X.train_graph(lab, bg, cold, "cold", "informed").select("source_id", "target_id", "relation_type")
+    return _graph(spark, d, "informed")
 
 
-@query(f"{_SPLIT} select {_KEYS} from ev where source_id in (select entity_id from cold) or target_id in (select entity_id from cold)")
+@query(f"{_SPLIT} select fold, {_KEYS} from ev where (source_id, fold) in (select entity_id, fold from cold) or (target_id, fold) in (select entity_id, fold from cold)")
 def cold_test_edges(spark, d):
-    _, cold, ev, _, _ = _split(spark, d)
-    return E.touching(ev, cold).select("source_id", "target_id", "relation_type")
+    _, cold, ev, _ = _split(spark, d)
+    return _each_fold(cold, lambda c: E.touching(ev, c)).select("fold", "source_id", "target_id", "relation_type")
 
 
 _DRAW = "cast('0x' || substr({}, 1, 8) as bigint) % (select count(*) from {})"
 
 
-@query(
+_NEGATIVES = (
     f"with {ENTITIES}, ps as (select entity_id, row_number() over (order by entity_id) - 1 as i from e where {_meta('entity_type')} = 'molecule'), pt as (select entity_id, row_number() over (order by entity_id) - 1 as i from e where {_meta('entity_type')} = 'protein'),"
-    f" pos as (select source_id, target_id, row_number() over (order by {_md5('negative', 'source_id', 'target_id')}, source_id, target_id) - 1 as r from (select distinct source_id, target_id from m where relation_type = 'inhibits')),"
+    f" pos as (select source_id, target_id, row_number() over (order by {_md5('negative', 'source_id', 'target_id')}, source_id, target_id) - 1 as r from (select distinct source_id, target_id from m where relation_type in ('interacts_with', 'inhibits'))),"
     f" tr as (select r, a, {_DRAW.format(_md5('source', '0', 'r', 'a'), 'ps')} as si, {_DRAW.format(_md5('target', '0', 'r', 'a'), 'pt')} as ti from pos, range(10) x(a)),"
     " ok as (select r, a, ps.entity_id as source_id, pt.entity_id as target_id from tr join ps on ps.i = si join pt on pt.i = ti where not exists (select 1 from m where (m.source_id = ps.entity_id and m.target_id = pt.entity_id) or (m.source_id = pt.entity_id and m.target_id = ps.entity_id)))"
     " select arg_min(source_id, a) as source_id, arg_min(target_id, a) as target_id from ok group by r"
 )
+
+
+@query(_NEGATIVES)
 def negative_samples(spark, d):
     m = materialize(merged(spark, d))
     e = materialize(N.manifest(m))
     s, t = (Q.select_entities(e, Q.EntitySelector(meta_types=(x,))) for x in ("molecule", "protein"))
-    return L.negatives(m.where("relation_type = 'inhibits'").select("source_id", "target_id").distinct(), s, t, m, SEED)
+    return L.negatives(m.where("relation_type in ('interacts_with', 'inhibits')").select("source_id", "target_id").distinct(), s, t, m, SEED)
 
 
 def _topk(name: str, i: str, v: str, c: str, k: int = 10, ok: str = "true") -> str:
@@ -401,22 +419,26 @@ _SAFE = "list_transform(features, lambda x: coalesce(x, 0)::double)"
 
 
 @query(
-    f"with {_topk('node_features', 'global_id', 'features', 'node_type', ok=_NODE_OK)}, s as (select i as source, j as target, c, round(1 - 2 * power(1 - cos, 2), 6) as score from hit join (select i, c from vec) using (i) where i < j)"
-    " select source, target, case when c = 'protein' then 'protein_protein_similarity' else 'drug_drug_similarity' end as edge_type, 'computed' as source_dataset, score from s where score > case when c = 'protein' then 0.99 else 0.9 end"
+    f"with {_topk('node_features', 'global_id', 'features', 'node_type', ok=_NODE_OK)}, ty as (select global_id as i, case when node_type = 'protein' then 'protein' when entity_type in ('drug', 'exogenous_ligand', 'ligand', 'endogenous_ligand') then entity_type else 'molecule' end as t"
+    f" from node_features left join entity_manifest on entity_id = authoritative_id), s as (select h.i, h.j, a.t as ti, b.t as tj, coalesce({_priority('a.t')} > {_priority('b.t')}, false) as sw, round(1 - 2 * power(1 - cos, 2), 6) as score from hit h join ty a on a.i = h.i join ty b on b.i = h.j where h.i < h.j),"
+    " o as (select case when sw then j else i end as source, case when sw then i else j end as target, case when sw then tj else ti end as st, case when sw then ti else tj end as tt, score from s)"
+    f" select source, target, st || '_' || tt || '_similarity' as edge_type, 'computed' as source_dataset, score from o where score > case {' '.join(f"when st = '{a}' and tt = '{b}' then {x}" for (a, b), x in V.THRESHOLDS.items())} else 1.1 end"
 )
 def similarity_edges(spark, d):
     v = table(spark, d, "node_features").where(F.size("features") == 48)
-    types = v.select(F.col("global_id").alias("id"), F.when(F.col("node_type") == "protein", "protein").otherwise("drug").alias("type"))
+    kinds = table(spark, d, "entity_manifest").select(F.col("entity_id").alias("authoritative_id"), "entity_type")
+    kind = F.when(F.col("node_type") == "protein", "protein").when(F.col("entity_type").isin("drug", "exogenous_ligand", "ligand", "endogenous_ligand"), F.col("entity_type")).otherwise("molecule")
+    types = v.join(kinds, "authoritative_id", "left").select(F.col("global_id").alias("id"), kind.alias("type"))
     return V.similarity_edges(V.candidates(v, types, class_col="node_type"))
 
 
 @query(
     f"with {MERGED}, f as (select authoritative_id as id, {_SAFE} as v from node_features where {_NODE_OK} and list_inner_product({_SAFE}, {_SAFE}) > 0)"
-    " select m.source_id as source, m.target_id as target, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) as cos from m join f a on m.source_id = a.id join f b on m.target_id = b.id where relation_type = 'inhibits'"
+    " select m.source_id as source, m.target_id as target, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) as cos from m join f a on m.source_id = a.id join f b on m.target_id = b.id"
 )
 def pair_cosine(spark, d):
     v = table(spark, d, "node_features").where(F.size("features") == 48).where(F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x)))
-    pairs = merged(spark, d).where("relation_type = 'inhibits'").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+    pairs = merged(spark, d).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
     return V.pair_cosine(pairs, v, "authoritative_id").withColumn("cos", F.round("cos", 6))
 
 
@@ -445,12 +467,12 @@ def enabled_edges(spark, d):
     return G.enabled(merged(spark, d), _FLAGS).select("source_id", "target_id", "relation_type")
 
 
-@query(f"{_SPLIT} select {_KEYS} from m where relation_type in ({', '.join(repr(r) for r in RELATIONS)}) or not (source_id in (select entity_id from cold) or target_id in (select entity_id from cold))")
+@query(f"{_SPLIT} select fold, {_KEYS} from m, folds where relation_type in ({', '.join(repr(r) for r in RELATIONS)}) or not ((source_id, fold) in (select entity_id, fold from cold) or (target_id, fold) in (select entity_id, fold from cold))")
 def background_without_leaks(spark, d):
-    m, cold, _, _, _ = _split(spark, d)
+    m, cold, _, _ = _split(spark, d)
     rows = m.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.col("relation_type").alias("edge_type"))
-    out = G.without_leaks(rows, cold.withColumnRenamed("entity_id", "id"), RELATIONS)
-    return out.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.col("edge_type").alias("relation_type"))
+    out = _each_fold(cold, lambda c: G.without_leaks(rows, c.withColumnRenamed("entity_id", "id"), RELATIONS))
+    return out.select("fold", F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.col("edge_type").alias("relation_type"))
 
 
 _LOCAL = "loc as (select global_id, row_number() over (order by case when node_type = 'molecule' then 0 else 1 end, global_id) - 1 as local_id from node_features where global_id is not null)"
@@ -481,15 +503,15 @@ _CLEAN = "trim(string_split(regexp_replace(lower(coalesce(ligand_name, '')), '\\
 @query(f"with dict as (select name, min(cid) as cid from (select lower(trim(x)) as name, cid from (select cid, unnest(list_concat([ligand_name], coalesce(synonyms, []))) as x from ref_ligand)) where name <> '' group by name) select r.cid, d.cid as found from ref_ligand r join dict d on d.name = {_CLEAN}")
 def clean_name_lookup(spark, d):
     ref = table(spark, d, "ref_ligand")
-    names = ref.select("cid", F.explode(F.concat(F.array("ligand_name"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("x")).select(F.lower(F.trim("x")).alias("name"), "cid")
-    dictionary = names.where("name <> ''").groupBy("name").agg(F.min("cid").alias("found"))
-    return ref.select("cid", text.clean_name(F.col("ligand_name")).alias("name")).join(dictionary, "name").select("cid", "found")
+    names = ref.select("cid", F.explode(F.concat(F.array("ligand_name"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("name"))
+    typed = ref.select(F.col("cid").alias("own"), text.clean_name(F.col("ligand_name")).alias("clean"))
+    return A.resolved_names(typed, A.dictionary(names.select("name", "cid", F.col("cid").alias("place")), "place")).select(F.col("own").alias("cid"), F.col("cid").alias("found"))
 
 
-@query("select molecule_id, arg_min(entry_id, (recorded_at is null, recorded_at, entry_id)) as entry_id from bindingdb where molecule_id is not null group by molecule_id")
+@query("select molecule_id, arg_min(protein_id, entry_id) as protein_id from bindingdb where molecule_id is not null and protein_id is not null group by molecule_id")
 def first_alias(spark, d):
-    rows = table(spark, d, "bindingdb").where("molecule_id is not null").select("molecule_id", "entry_id", "recorded_at").withColumn("late", F.col("recorded_at").isNull())
-    return rows.groupBy("molecule_id").agg(F.min(F.struct("late", "recorded_at", "entry_id")).getField("entry_id").alias("entry_id"))
+    b = table(spark, d, "bindingdb").select(F.col("molecule_id").alias("network_id"), F.col("protein_id").alias("alias"), F.lit("BLAST_UniProt_AC").alias("source"), "entry_id")
+    return A.first_alias(b, "entry_id").select(F.col("network_id").alias("molecule_id"), F.col("alias").alias("protein_id"))
 
 
 _TYPES = list(RELATIONS)
@@ -536,10 +558,10 @@ def degree_summary(spark, d):
     return R.degree_summary(merged(spark, d))
 
 
-@query(f"{_SPLIT}, t as (select count(*) as n from ev where source_id in (select entity_id from cold) or target_id in (select entity_id from cold)) select relation_type as edge_type, count(*) as train, count(*) + case when relation_type = 'interacts_with' then max(t.n) else 0 end as whole from (select * from lab union all select * from bg), t group by relation_type")
+@query(f"{_SPLIT}, t as (select fold, count(*) as n from ev where (source_id, fold) in (select entity_id, fold from cold) or (target_id, fold) in (select entity_id, fold from cold) group by fold) select fold, relation_type as edge_type, count(*) as train, count(*) + case when relation_type = 'interacts_with' then max(coalesce(t.n, 0)) else 0 end as whole from (select * from lab union all select * from bg) left join t using (fold) group by fold, relation_type")
 def split_effect(spark, d):
-    _, cold, ev, bg, lab = _split(spark, d)
-    return R.split_effect(X.train_graph(lab, bg, cold, "cold", "informed"), E.touching(ev, cold), "interacts_with")
+    _, cold, ev, bg = _split(spark, d)
+    return _each_fold(cold, lambda c: R.split_effect(X.train_graph(E.touching(ev, c, keep=False), bg, c, "cold", "informed"), E.touching(ev, c), "interacts_with"))
 
 
 @query(f"with {MERGED} select relation_type, count(raw_score) as n, round(avg(raw_score), 6) as mean, round(median(raw_score), 6) as median from m group by relation_type")
@@ -571,9 +593,131 @@ def connected_components(spark, d):
     return G.connected_components(materialize(merged(spark, d)))
 
 
-@query("select event_type, count(*) as n, round(sum(cast(json_extract_string(props, '$.k') as double)), 6) as total from events group by event_type")
-def nested_json_flatten(spark, d):
-    k = F.from_json("props", "k double").getField("k")
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(k), 6).alias("total"))
+_SPLITS = ("train", "valid", "test")
+
+
+@query("select relation_type, " + ", ".join(f"trunc(avg(raw_score) filter (where split_name = '{x}'))::bigint as {x}" for x in _SPLITS) + " from canonical_interaction group by relation_type")
+def pivot_mean(spark, d):
+    return R.by_largest(R.pivot_mean(table(spark, d, "canonical_interaction"), "relation_type", "split_name", "raw_score", list(_SPLITS)), "relation_type")
+
+
+@query(f"select entity_id as value, count(*) as n from entity_manifest where entity_id is not null and not regexp_matches(entity_id, '{_PATTERNS['short_code']}') group by entity_id")
+def regex_exceptions(spark, d):
+    return R.pattern_exceptions(table(spark, d, "entity_manifest"), "entity_id", _PATTERNS["short_code"])
+
+
+@query(f"select entity_id, reason from ({_VALID}) where not valid order by entity_id limit 5")
+def validation_mismatches(spark, d):
+    return R.first_mismatches(_validated(spark, d), F.col("valid"), "entity_id").select("entity_id", "reason")
+
+
+@query(
+    "select 'molecule' as kind, entity_id from (select distinct floor(try_cast(trim(entity_id) as double))::bigint::varchar as entity_id from entity_manifest where structure is null and regexp_matches(entity_type, 'molecule|drug|ligand') and try_cast(trim(entity_id) as double) >= 1)"
+    " union all select 'protein', entity_id from (select distinct entity_id from entity_manifest where structure is null and entity_type = 'protein' and entity_id is not null)"
+)
+def enrichment_mask(spark, d):
+    m = table(spark, d, "entity_manifest")
+    molecules, proteins = (N.to_enrich(m, k).select(F.lit(k).alias("kind"), "entity_id") for k in ("molecule", "protein"))
+    return molecules.unionByName(proteins)
+
+
+@query("select distinct entity_id from entity_manifest where entity_type in ('drug', 'ligand') and list_has_any(all_sources, ['bindingdb']) union select distinct entity_id from entity_manifest where len(structure) > 40")
+def ids_by_selector(spark, d):
+    m = table(spark, d, "entity_manifest")
+    chosen = N.ids_of(m, Q.EntitySelector(entity_types=("drug", "ligand"), from_sources=("bindingdb",)))
+    return chosen.unionByName(N.ids_of(m, F.length("structure") > 40)).distinct()
+
+
+@query(f"with {MERGED} select {_KEYS} from (select *, row_number() over (order by {_md5('sample', 'source_id', 'target_id', 'relation_type')}) as r, count(*) over () as n from m) where r <= round_even(n * 0.25, 0)")
+def sample_fraction(spark, d):
+    return S.sample(materialize(merged(spark, d)), fraction=0.25, seed=SEED).select("source_id", "target_id", "relation_type")
+
+
+#: Stratified where every target has two edges; these tables have targets with one, so the split is plain. A test covers the other branch.
+@query(f"with {MERGED} select {_KEYS}, row_number() over (order by {_md5('single', 'source_id', 'target_id', 'relation_type')}) - 1 < ceil(count(*) over () * 0.2) as is_test from m")
+def warm_single_split(spark, d):
+    return X.warm_single(materialize(merged(spark, d)), 0.2, SEED).select("source_id", "target_id", "relation_type", "is_test")
+
+
+@query(f"with {_topk('embeddings', 'vec_id', 'embedding', 'label')} select i, j, round(greatest(0, least(1, (cos + 1) / 2)), 6) as scaled from hit")
+def scaled_similarity(spark, d):
+    return V.top_k(table(spark, d, "embeddings"), 10, "vec_id", "embedding", "label").select("i", "j", F.round(V.scaled(F.col("cos")), 6).alias("scaled"))
+
+
+@query(
+    f"with f as (select authoritative_id as id, {_SAFE} as v from node_features where {_NODE_OK} and list_inner_product({_SAFE}, {_SAFE}) > 0), neg as ({_NEGATIVES})"
+    " select source_id as source, target_id as target, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) as cos from neg join f a on source_id = a.id join f b on target_id = b.id"
+)
+def pair_cosine_negative(spark, d):
+    v = table(spark, d, "node_features").where(F.size("features") == 48).where(F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x)))
+    pairs = negative_samples(spark, d).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+    return V.pair_cosine(pairs, v, "authoritative_id").withColumn("cos", F.round("cos", 6))
+
+
+def _sql_bits(c: str, bits: int) -> str:
+    return f"list_transform(range(1, len({c}) - 1), lambda i: cast('0x' || substr(md5(substr({c}, i, 3)), 1, 8) as bigint) % {bits})"
+
+
+@query(
+    f"with {MERGED}, fp as (select entity_id, list_distinct({_sql_bits('structure', 2048)}) as b from entity_manifest where structure is not null)"
+    " select source_id, target_id, relation_type, round(case when len(list_distinct(list_concat(x.b, y.b))) > 0 then len(list_intersect(x.b, y.b)) / len(list_distinct(list_concat(x.b, y.b))) else 0 end, 6) as tanimoto from m join fp x on x.entity_id = source_id join fp y on y.entity_id = target_id"
+)
+def tanimoto_structures(spark, d):
+    fp = materialize(table(spark, d, "entity_manifest").where("structure is not null").select("entity_id", V.fingerprint(F.col("structure")).alias("b")))
+    out = merged(spark, d).join(fp.select(F.col("entity_id").alias("source_id"), F.col("b").alias("x")), "source_id").join(fp.select(F.col("entity_id").alias("target_id"), F.col("b").alias("y")), "target_id")
+    return out.select("source_id", "target_id", "relation_type", F.round(V.tanimoto(F.col("x"), F.col("y")), 6).alias("tanimoto"))
+
+
+@query(
+    f"select entity_id, unnest(range(8)) as place, unnest(list_transform(range(8), lambda p: len(list_filter(b, lambda x: x = p)))) as n from (select entity_id, {_sql_bits('structure', 8)} as b from entity_manifest where structure is not null and entity_id is not null)"
+)
+def extracted_features(spark, d):
+    known = Y.Extractors()
+    known.register("entity", Y.hashed(8))
+    cache = fresh_path(spark)
+    m = table(spark, d, "entity_manifest").select("entity_id", "structure")
+    known.extract(m.where("structure < 'M'"), "entity", cache)  # a part is cached first, the rest computed then
+    out = known.extract(m, "entity", cache)
+    return out.select("entity_id", F.posexplode("features").alias("place", "x")).select("entity_id", F.col("place").cast("bigint").alias("place"), F.col("x").cast("bigint").alias("n"))
+
+
+_LINKS = "lk as (select u, v from pr union all select v, u from pr union all select node, node from dg)"
+
+
+def _lpa(rounds: int) -> str:
+    out, last = "", "(select node, node as community from dg)"
+    for i in range(rounds):
+        out += f", l{i} as (select u as node, arg_min(community, (-n, community)) as community from (select u, community, count(*) as n from lk join {last} p on p.node = lk.v group by u, community) group by u)"
+        last = f"l{i}"
+    return out
+
+
+@query(f"with {_DEGREES}, {_LINKS}{_lpa(5)} select node, community from l4")
+def label_communities(spark, d):
+    return G.communities(merged(spark, d), 5)
+
+
+@query(
+    f"with {_DEGREES}, {_LINKS}{_lpa(5)}, e2 as (select a.community as cu, b.community as cv from pr join l4 a on a.node = u join l4 b on b.node = v), t as (select count(*) as m, count(*) filter (where cu = cv) as inside from e2),"
+    " q as (select sum(k * k) as squares from (select sum(d)::double as k from (select cu as c, count(*) as d from e2 group by cu union all select cv, count(*) from e2 group by cv) group by c)) select round(inside / m - squares / (4.0 * m * m), 9) as modularity from t, q"
+)
+def community_modularity(spark, d):
+    m = materialize(merged(spark, d))
+    return R.modularity(m, G.communities(m, 5))
+
+
+@query(
+    f"with {MERGED}, en as (select source_id as entity_id from m union select target_id from m), ids as (select distinct entity_id from entity_manifest where entity_id is not null)"
+    " select 'repeated or null ids' as problem, (select count(*) from (select entity_id from entity_manifest group by 1 having count(*) > 1 or entity_id is null)) as n union all select 'ends without entity', (select count(*) from en where entity_id not in (select entity_id from ids))"
+    " union all select 'entities without edge', (select count(*) from ids where entity_id not in (select entity_id from en)) union all select 'vectors without entity', (select count(distinct coalesce(authoritative_id, '')) from node_features where authoritative_id is null or authoritative_id not in (select entity_id from ids))"
+)
+def consistency_audit(spark, d):
+    return R.consistency(table(spark, d, "entity_manifest"), merged(spark, d), table(spark, d, "node_features").select(F.col("authoritative_id").alias("entity_id")))
+
+
+def feature_clusters(spark, d):
+    ok = table(spark, d, "node_features").where(F.size("features") == 48).where(F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x)))
+    return V.cluster_labels(ok, 8)
 
 
+QUERIES["feature_clusters"] = feature_clusters

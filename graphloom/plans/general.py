@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.operators import enzymes, units
+from pyspark.sql import functions as F
+
+from graphloom.operators import enzymes, reports, units
 from graphloom.storage import table
 
 
@@ -30,7 +32,12 @@ def p5_ligand_items(spark, d):
     return enzymes.ligand_items(*_t(spark, d, "brenda"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_converted, p5_found, p5_proteins, p5_ligand_items)}
+def nested_coverage(spark, d):
+    store = enzymes.columns(table(spark, d, "brenda"))
+    return reports.nested_coverage(enzymes.table_of(store, "proteins"), enzymes.table_of(store, "accessions"), store.select(F.col("record_id").alias("entry_id")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_converted, p5_found, p5_proteins, p5_ligand_items, nested_coverage)}
 _LIGAND = "(inhibitor|ki_value|ic50_value|km_value|turnover_number)(:[0-9]+)?"
 
 
@@ -90,5 +97,9 @@ SQL: dict[str, str] = {
  select entry_id, field_name, item_no, protein_key, accession from refs join acc using (entry_id, protein_key) where accession <> '' and protein_key <> ''""",
     "p5_proteins": f"""with {_ITEMS}, {_PROTEINS} select entry_id, place as protein_no, k as protein_key, case when json_type(json_extract(o, '$.organism')) = 'OBJECT' then json_extract_string(o, '$.organism.name') else {_text("json_extract(o, '$.organism')")} end as organism,
  json_extract_string(o, '$.organism.taxon') as taxon, {_text("json_extract(o, '$.source')")} as source from prot""",
+    "nested_coverage": f"""with {_ITEMS}, {_PROTEINS}, o1 as (select *, case when json_type(json_extract(o, '$.organism')) = 'OBJECT' then json_extract_string(o, '$.organism.name') else {_text("json_extract(o, '$.organism')")} end as organism, {_text("json_extract(o, '$.source')")} as source,
+ len(list_filter({_list("json_extract(o, '$.accessions')")}, lambda x: trim(coalesce(case when json_type(x) = 'OBJECT' then json_extract_string(x, '$.id') when json_type(x) in ('NULL', 'ARRAY') then null else json_extract_string(x, '$') end, '')) <> '')) > 0 as has from prot),
+ own as (select * from o1 where lower(organism) like '%homo sapiens%') select 'entries' as measure, (select count(*) from brenda) as n union all select 'entries with organism', count(distinct entry_id) from own union all select 'proteins', count(*) from own
+ union all select 'proteins with accessions', count(*) filter (where has) from own union all select 'proteins without accessions', count(*) filter (where not has) from own union all select 'source ' || source, count(*) from own where source is not null group by source""",
     "p5_ligand_items": f"with {_ITEMS} select entry_id, field_name, item_no, json_extract_string(item, '$.value') as value, json_extract_string(item, '$.comment') as comment, regexp_replace(json_extract_string(item, '$.conditions.ph'), '\\.0$', '') as ph from items",
 }
