@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphloom.storage import spread
 
@@ -194,6 +195,14 @@ def shredded(records: DataFrame, source: NestedSource, id_col: str, json_col: st
     return spread(records.select(id_col, json_col), id_col).mapInArrow(run, f"record_id {id_type}, {_shape(source)}")
 
 
+def unreadable(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """The id and `reason` of records that yield no rows in any table: `missing` (null or blank), `malformed`, or `no object`."""
+    parsed = F.try_parse_json(json_col)
+    missing = F.col(json_col).isNull() | (F.trim(json_col) == "")
+    reason = F.when(missing, "missing").when(parsed.isNull(), "malformed").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "no object")
+    return records.select(id_col, reason.alias("reason")).where("reason is not null")
+
+
 def _places(rep: np.ndarray, level: int) -> np.ndarray:
     """The number of each position's element of a level within its parent."""
     run = np.cumsum(rep <= level) - 1

@@ -88,6 +88,7 @@ _POWER = r"(?:\s*[x×*·]\s*10\s*\^?\s*[-−–+]?\d+)"
 _NOTE_UNIT = rf"(?<![\p{{L}}\p{{N}}])(?:(?i:(pico|nano|micro|milli)?molar|([pnuµμm])?mol(?:es?)?{_PER_LITRE})|([pnuµμm])[mM]|M)(?![\p{{L}}\p{{N}}])"
 _AMOUNT = rf"(?<![\p{{L}}\p{{N}}.,])\d[\d.,]*\s*(?:(?i:(?:pico|nano|micro|milli)?molar|[pnuµμm]?mol(?:es?)?{_PER_LITRE})|[pnuµμm][mM]|M)(?![\p{{L}}\p{{N}}])"
 _LOG_NOTE = r"(?i)neg(?:ative|\.)?\s+(?:decadic\s+)?log|[-−–]\s*log|\blogarithmic\b|(?<![\p{L}\p{N}])p(?:x|ki|kd|km|ic\s?50|ec\s?50)(?![\p{L}\p{N}])"
+#: Phrasings by which a note speaks of one field only; a bounded list, any other note speaks of all fields.
 _FIELD = r"(?i)(?<![\p{L}\p{N}])(ki|kd|ic\s?50)\s+(?:is\s+in|column\s+in|values?\s+in|only\s*:)"
 _NO_CONCENTRATION = r"(?i)\bno (?:concentration|unit)|\bdimensionless\b|\bconfidence\b"
 
@@ -146,7 +147,9 @@ def value_number(text: Column) -> Column:
 
 def depositor_values(bindingdb: DataFrame, depositor: DataFrame) -> DataFrame:
     """`source_table`, `record_id`, `field_name`, `value_text`, `number`, `unit_name` of every value that has a number."""
-    who = depositor.select(F.col("depositor_id").alias("who"), note_unit(F.col("practice_note")).alias("who_unit")).dropDuplicates(["who"])
+    # A depositor with several notes has the unit of the first of them, by text, that states one.
+    who = depositor.select(F.col("depositor_id").alias("who"), "practice_note", note_unit(F.col("practice_note")).alias("who_unit")).where("who_unit is not null")
+    who = who.groupBy("who").agg(F.min(F.struct("practice_note", "who_unit")).getField("who_unit").alias("who_unit"))
     rows = bindingdb.select("entry_id", "depositor_id", "curator_note", "ki", "kd", "ic50")
     rows = rows.select("entry_id", "depositor_id", note_unit(F.col("curator_note")).alias("row_unit"), note_field(F.col("curator_note")).alias("row_field"), F.expr("stack(3, 'ki', ki, 'kd', kd, 'ic50', ic50) as (field_name, value_text)"))
     rows = rows.where("value_text is not null").withColumn("number", value_number(F.col("value_text"))).where("number is not null")
@@ -160,8 +163,8 @@ def score_values(edges: DataFrame, notes: DataFrame) -> DataFrame:
     """The same of raw_score. Scores of a dataset without concentrations are left out; of datasets joined with `|` whose units differ, the first that states one holds."""
     # A note table has a row for each dataset; its units become one small map, so that joined names need no join of their own.
     name = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
-    told = notes.select(name(F.col("source_dataset")).alias("set"), F.when(F.col("unit_note").rlike(_NO_CONCENTRATION), "none").otherwise(note_unit(F.col("unit_note"))).alias("set_unit"))
-    told = told.where("set is not null and set_unit is not null").dropDuplicates(["set"])
+    told = notes.select(name(F.col("source_dataset")).alias("set"), "unit_note", F.when(F.col("unit_note").rlike(_NO_CONCENTRATION), "none").otherwise(note_unit(F.col("unit_note"))).alias("set_unit"))
+    told = told.where("set is not null and set_unit is not null").groupBy("set").agg(F.min(F.struct("unit_note", "set_unit")).getField("set_unit").alias("set_unit"))  # of several notes, the first by text
     rows = edges.select("interaction_id", "raw_score", "source_dataset", "score_note").where(F.col("raw_score").isNotNull() & ~F.isnan("raw_score"))
     named = edges.select("source_dataset").where("source_dataset is not null").distinct()  # a row for each spelling
     parts = named.select("source_dataset", F.posexplode(F.split("source_dataset", r"\|")).alias("i", "part"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import enzymes, reports, units
+from graphloom.operators import enzymes, reports, shred, units
 from graphloom.storage import table
 
 
@@ -17,7 +17,9 @@ def p2_found(spark, d):
 
 
 def p2_converted(spark, d):
-    return units.convert(units.quantities(*_t(spark, d, "bindingdb", "depositor", "canonical_interaction", "dataset_note"))).drop("to_unit")
+    """Values in nM to 9 digits, so that the last bits of powers do not matter."""
+    values = units.convert(units.quantities(*_t(spark, d, "bindingdb", "depositor", "canonical_interaction", "dataset_note")))
+    return values.select("source_table", "record_id", "field_name", "unit_name", F.format_string("%.8e", "converted").try_cast("double").alias("converted"))
 
 
 def p5_found(spark, d):
@@ -37,7 +39,11 @@ def nested_coverage(spark, d):
     return reports.nested_coverage(enzymes.table_of(store, "proteins"), enzymes.table_of(store, "accessions"), store.select(F.col("record_id").alias("entry_id")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_converted, p5_found, p5_proteins, p5_ligand_items, nested_coverage)}
+def unreadable_records(spark, d):
+    return shred.unreadable(table(spark, d, "brenda"), "entry_id", "record_json").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_converted, p5_found, p5_proteins, p5_ligand_items, nested_coverage, unreadable_records)}
 _LIGAND = "(inhibitor|ki_value|ic50_value|km_value|turnover_number)(:[0-9]+)?"
 
 
@@ -83,16 +89,26 @@ def _sql_note(c: str) -> str:
 _SQL_FIELD = "replace(lower(regexp_extract({c}, '(?i)(^|[^\\p{{L}}\\p{{N}}])(ki|kd|ic\\s?50)\\s+(is\\s+in|column\\s+in|values?\\s+in|only\\s*:)', 2)), ' ', '')".format(c="curator_note")
 _UNITS = f"""with vals as (select entry_id, depositor_id, curator_note, f, replace(v, chr(160), ' ') as v from (select entry_id, depositor_id, curator_note, unnest(['ki', 'kd', 'ic50']) as f, unnest([ki, kd, ic50]) as v from bindingdb)),
 a as (select 'bindingdb' as source_table, entry_id as record_id, f as field_name, coalesce(case when regexp_matches(v, '(?i)^[\\s<>=~≤≥≈]*p\\s?(ki|kd|km|ic\\s?50)') then '-log M' else {_sql_name(f"regexp_extract(regexp_replace(regexp_extract(v, '{_SQL_VALUE}', 0), '[)\\]\\s]+$', ''), '(?i)([pnuµμm]?m|(pico|nano|micro|milli)?molar|[pnuµμm]?mol(es?)?{_LITRE})$', 0)")} end,
- case when {_SQL_FIELD} in ('', f) then {_sql_note('curator_note')} end, {_sql_note('practice_note')}, 'nM') as unit_name from vals left join depositor using (depositor_id) where regexp_matches(v, '{_SQL_VALUE}')),
+ case when {_SQL_FIELD} in ('', f) then {_sql_note('curator_note')} end, {_sql_note('practice_note')}, 'nM') as unit_name, v, null::double as raw from vals left join depositor using (depositor_id) where regexp_matches(v, '{_SQL_VALUE}')),
 told as (select lower(trim(source_dataset)) as s, case when regexp_matches(unit_note, '(?i)no (concentration|unit)|dimensionless|confidence') then 'none' else {_sql_note('unit_note')} end as u from dataset_note),
 parts as (select source_dataset, i, lower(trim(p)) as s from (select source_dataset, unnest(range(len(string_split(source_dataset, '|')))) as i, unnest(string_split(source_dataset, '|')) as p from (select distinct source_dataset from canonical_interaction where source_dataset is not null))),
 sets as (select source_dataset, arg_min(u, i) as u from parts join told using (s) where u is not null group by source_dataset),
-b as (select 'canonical_interaction' as source_table, interaction_id as record_id, 'raw_score' as field_name, coalesce({_sql_note('score_note')}, u, 'nM') as unit_name from canonical_interaction left join sets using (source_dataset) where raw_score is not null and not isnan(raw_score) and coalesce(u, '') <> 'none')
+b as (select 'canonical_interaction' as source_table, interaction_id as record_id, 'raw_score' as field_name, coalesce({_sql_note('score_note')}, u, 'nM') as unit_name, null::varchar as v, raw_score as raw from canonical_interaction left join sets using (source_dataset) where raw_score is not null and not isnan(raw_score) and coalesce(u, '') <> 'none')
 select source_table, record_id, field_name, unit_name from (select * from a union all select * from b) where unit_name <> 'nM'"""
 
+_MANTISSA = f"lower(regexp_extract(v, '{_SQL_VALUE}', 3))"
+_THOUSANDS = "'[1-9][0-9]{0,2}(' || %s || '[0-9]{3})+(\\.[0-9]*)?(e[+-]?[0-9]+)?'"
+_CONVERTED = f"""{_UNITS[:_UNITS.rindex("select source_table")]}, nums as (select source_table, record_id, field_name, unit_name, coalesce(raw, try_cast(case when regexp_full_match({_MANTISSA}, {_THOUSANDS % "','"}) then replace({_MANTISSA}, ',', '')
+ when regexp_full_match({_MANTISSA}, {_THOUSANDS % "chr(39)"}) then replace({_MANTISSA}, chr(39), '') else replace({_MANTISSA}, ',', '.') end as double)
+ * pow(10.0, coalesce(try_cast(replace(replace(regexp_extract(regexp_extract(v, '{_SQL_VALUE}', 5), '10\\s*\\^?\\s*([-−–+]?[0-9]+)$', 1), '−', '-'), '–', '-') as integer), 0))) as x from (select * from a union all select * from b))
+ select source_table, record_id, field_name, unit_name, format('{{:.8e}}', case when unit_name = '-log M' then pow(10.0, 9 - x) when x > 0 then pow(10.0, log10(x) + case unit_name when 'pM' then -3 when 'uM' then 3 when 'mM' then 6 when 'M' then 9 else 0 end)
+ when x = 0 then 0.0 end)::double as converted from nums where x is not null"""
+
 # Numbers without a fraction are written as whole numbers, here as in the operator.
 SQL: dict[str, str] = {
     "p2_found": _UNITS,
+    "p2_converted": _CONVERTED,
+    "unreadable_records": "select case when record_json is null or trim(record_json) = '' then 'missing' when not json_valid(record_json) then 'malformed' else 'no object' end as reason, count(*) as n from brenda where record_json is null or not json_valid(record_json) or json_type(record_json) <> 'OBJECT' group by 1",
     "p5_found": f"""with {_ITEMS}, {_PROTEINS}, {_ACCESSIONS}, refs as (select distinct entry_id, field_name, item_no, trim({_text('r')}) as protein_key from (select entry_id, field_name, item_no, unnest({_list("json_extract(item, '$.proteins')")}) as r from items where json_type(item) = 'OBJECT'))
  select entry_id, field_name, item_no, protein_key, accession from refs join acc using (entry_id, protein_key) where accession <> '' and protein_key <> ''""",
     "p5_proteins": f"""with {_ITEMS}, {_PROTEINS} select entry_id, place as protein_no, k as protein_key, case when json_type(json_extract(o, '$.organism')) = 'OBJECT' then json_extract_string(o, '$.organism.name') else {_text("json_extract(o, '$.organism')")} end as organism,

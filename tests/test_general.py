@@ -127,3 +127,11 @@ def test_levels():
         work.add(r)
     c = work.columns["a.b"]
     assert list(zip(c.rep, c.defn, c.value)) == [(0, 5, "1"), (2, 5, "2"), (1, 3, None), (1, 5, "3"), (0, 1, None), (0, 4, None)]
+
+
+def test_records_that_give_no_rows_are_reported(spark):
+    from graphloom.operators.shred import unreadable
+
+    rows = [(1, '{"ec": "1"}'), (2, None), (3, "  "), (4, "{broken"), (5, "[1]"), (6, '"x"')]
+    df = spark.createDataFrame(rows, "entry_id bigint, record_json string")
+    assert sorted(map(tuple, unreadable(df, "entry_id", "record_json").collect())) == [(2, "missing"), (3, "missing"), (4, "malformed"), (5, "no object"), (6, "no object")]
