@@ -3,6 +3,7 @@
 import logging
 
 from graphloom.operators import labels as L
+from graphloom.storage import materialize
 
 
 def _pairs(spark, free):
@@ -21,3 +22,19 @@ def test_a_shortfall_is_reported(spark, caplog):
     with caplog.at_level(logging.WARNING):
         assert L.negatives(known.limit(4), s, t, known, 1).count() == 0
     assert "only 0 of 4 negatives found in 400 draws" in caplog.text
+
+
+def test_draws_are_formed_one_by_one_and_never_broadcast_above_the_bound(spark, monkeypatch):
+    known, s, t = _pairs(spark, 30)
+    want = sorted(map(tuple, L.negatives(known.limit(40), s, t, known, 1).collect()))
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return materialize(df)
+
+    monkeypatch.setattr(L, "FEW", 0, raising=False)
+    monkeypatch.setattr(L, "materialize", noted)
+    assert sorted(map(tuple, L.negatives(known.limit(40), s, t, known, 1).collect())) == want
+    drawn = [x for x in plans if "explode" in x]
+    assert len(drawn) > 1 and not any("BroadcastExchange" in x for x in drawn)
