@@ -104,11 +104,14 @@ def similarity_edges(found: DataFrame, thresholds: dict[tuple[str, str], float]
 
 def pair_cosine(pairs: DataFrame, vectors: DataFrame, id_col: str = "global_id", vec_col: str = "features") -> DataFrame:
     """`source`, `target` and further columns of the pairs, with `cos` of their vectors; a pair with an unknown or zero vector drops out."""
-    v = vectors.select(F.col(id_col).alias("_i"), F.col(vec_col).cast("array<double>").alias("_v"))
-    out = pairs.join(v.select(F.col("_i").alias("source"), F.col("_v").alias("_a")), "source").join(v.select(F.col("_i").alias("target"), F.col("_v").alias("_b")), "target")
+    v = vectors.select(F.col(id_col).alias("_i"), F.col(vec_col).alias("_v"))
+    ids = materialize(v.select("_i")).hint("merge")  # small as a file, not in memory
+    both = pairs.join(ids.select(F.col("_i").alias("source")), "source", "left_semi").join(ids.select(F.col("_i").alias("target")), "target", "left_semi")  # only these meet vectors
+    out = both.join(v.select(F.col("_i").alias("source"), F.col("_v").alias("_a")), "source").join(v.select(F.col("_i").alias("target"), F.col("_v").alias("_b")), "target")
+    out = out.where(F.size("_a") == F.size("_b")).withColumns({c: F.col(c).cast("array<double>") for c in ("_a", "_b")})
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(dot("_a", "_a")) * F.sqrt(dot("_b", "_b"))
-    return out.where(F.size("_a") == F.size("_b")).withColumn("cos", F.when(norm > 0, dot("_a", "_b") / norm)).where(F.col("cos").isNotNull() & ~F.isnan("cos")).drop("_a", "_b")
+    return out.withColumn("cos", F.when(norm > 0, dot("_a", "_b") / norm)).where(F.col("cos").isNotNull() & ~F.isnan("cos")).drop("_a", "_b")
 
 
 def tanimoto(a: Column, b: Column) -> Column:

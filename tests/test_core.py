@@ -263,6 +263,15 @@ def test_similarity_formula_and_order(spark):
     assert V.similarity_edges(got).count() == 1
 
 
+def test_only_pairs_with_two_vectors_meet_the_vectors_and_these_stay_floats(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("c", [0.0, 0.0])], "id string, features array<float>")
+    pairs = spark.createDataFrame([("a", "b", 1), ("a", "b", 2), ("a", "x", 3), ("x", "b", 4), ("a", "c", 5)], "source string, target string, n int")
+    out = V.pair_cosine(pairs, v, "id")
+    assert rows(out.select("n", F.round("cos", 6).alias("cos"))) == [(1, 0.707107), (2, 0.707107)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2 and "as array<double>) AS" not in plan[plan.index("Join") :]
+
+
 def test_minmax_flags_and_leaks(spark):
     g = spark.createDataFrame([(0, 1, "a", 10.0), (0, 2, "a", 100.0), (1, 2, "b", 0.6), (2, 3, None, None)], "source bigint, target bigint, edge_type string, score double")
     assert rows(G.minmax(g), "edge_type", "score") == sorted([("a", 0.0), ("a", 1.0), ("b", 1.0), (None, 1.0)], key=repr)
