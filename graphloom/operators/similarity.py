@@ -7,54 +7,150 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from graphloom.schema import priority
-from graphloom.storage import materialize
+from graphloom.storage import discard, materialize, read_file
 
-#: Vectors of a block.
-BLOCK = 4096
+#: Vectors of a block, about; neighbours of a block that are merged at once.
+BLOCK, WAITING = 8192, 2_000_000
 #: Similarities to exceed, by types of source and target; other pairs of types never pass.
 THRESHOLDS = {("drug", "drug"): 0.9, ("drug", "ligand"): 0.9, ("ligand", "ligand"): 0.9, ("protein", "protein"): 0.99}
 NEVER = 1.1
 
 
-def _block(k: int):
-    def run(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(base):
-            return pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "cos": np.zeros(0)})
-        q, b = (np.stack(x["v"].to_numpy()).astype(np.float64) for x in (queries, base))
-        q, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (q, b))
-        qi, bi = queries["i"].to_numpy(), base["i"].to_numpy()
-        order = np.argsort(bi, kind="stable")
-        b, bi = b[order], bi[order]
-        out = []
-        for a in range(0, len(q), 1024):
-            cos = np.round(q[a : a + 1024] @ b.T, 10)
-            cos[qi[a : a + 1024, None] == bi[None, :]] = -np.inf
-            best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"i": np.repeat(qi[a : a + 1024], best.shape[1]), "j": bi[best].ravel(), "cos": np.take_along_axis(cos, best, 1).ravel()}))
-        out = pd.concat(out)
-        return out[np.isfinite(out["cos"])]
+def _packed(dtype: str):
+    """A block as one row: ids and unit vectors as bytes."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        v = rows["v"].combine_chunks()
+        dims = np.unique(np.diff(v.offsets.to_numpy()))
+        if len(dims) > 1:
+            raise ValueError("vectors of a class differ in length")
+        x = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims[0]).astype(dtype)
+        return pa.table({"c": pa.array([key[0].as_py()], pa.string()), "own": pa.array([key[1].as_py()], pa.int32()), "dim": pa.array([dims[0]], pa.int32()), "ids": pa.array([rows["i"].to_numpy().astype(np.int64).tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
 
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 10, id_col: str = "global_id", vec_col: str = "features", class_col: str | None = None) -> DataFrame:
+def _blocks(path: str, c: str, dtype: str, own: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of the blocks of a class in a file, or of one of them."""
+    for r in read_file(path, filters=[("c", "=", c)] + ([] if own is None else [("own", "=", own)])).to_pylist():
+        x = np.frombuffer(r["x"], dtype).reshape(-1, r["dim"]).astype(np.float64)
+        yield np.frombuffer(r["ids"], np.int64), x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+class _Top:
+    """The k best of each query so far: by cosine, then by the smaller id."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k, self.limit = ids, k, np.full(len(ids), -np.inf)
+        self.row, self.who, self.cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, row: np.ndarray, who: np.ndarray, cos: np.ndarray) -> None:
+        self.waiting.append((row, who, cos))
+        self.size += len(row)
+        if self.size > WAITING:
+            self.merge()
+
+    def merge(self) -> None:
+        row, who, cos = (np.concatenate(x) for x in zip((self.row, self.who, self.cos), *self.waiting))
+        self.waiting, self.size = [], 0
+        order = np.lexsort((who, -cos, row))
+        row, who, cos = row[order], who[order], cos[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.k
+        last = place == self.k - 1
+        self.limit[row[last]] = cos[last]
+        self.row, self.who, self.cos = row[kept], who[kept], cos[kept]
+
+
+def _all(q: np.ndarray, ids: np.ndarray, top: _Top, base: np.ndarray, base_ids: np.ndarray) -> None:
+    """Adds what is no worse than the k-th best of each query."""
+    for a in range(0, len(q), 1024):
+        for b in range(0, len(base), 4096):
+            cos = np.round(q[a : a + 1024] @ base[b : b + 4096].T, 10)
+            cos[ids[a : a + 1024, None] == base_ids[None, b : b + 4096]] = -np.inf
+            limit = top.limit[a : a + 1024]
+            if cos.shape[1] > top.k:
+                limit = np.maximum(limit, np.partition(cos, -top.k, axis=1)[:, -top.k])
+            row, c = np.nonzero((cos >= limit[:, None]) & (cos > -np.inf))
+            top.add(row + a, base_ids[b + c], cos[row, c])
+    top.merge()
+
+
+def _bounded(m: np.ndarray) -> np.ndarray:
+    """Two thirds of the columns of turned unit vectors, and the length of the rest: their products are no less than the cosines."""
+    turned = m @ np.linalg.qr(np.random.default_rng(11).standard_normal((m.shape[1],) * 2))[0]
+    first = math.ceil(m.shape[1] * 2 / 3)
+    return np.column_stack((turned[:, :first], np.linalg.norm(turned[:, first:], axis=1))).astype(np.float32)
+
+
+def _above(q: np.ndarray, ids: np.ndarray, top: _Top, base: np.ndarray, base_ids: np.ndarray, bounds: np.ndarray, least: float) -> None:
+    """Adds all of at least that cosine: those that the bound leaves are compared exactly."""
+    turned = np.ascontiguousarray(_bounded(base).T)
+    for b in range(0, len(base), 2048):
+        part = np.ascontiguousarray(turned[:, b : b + 2048])
+        out = np.empty((256, part.shape[1]), np.float32)
+        for a in range(0, len(q), 256):
+            most = np.dot(bounds[a : a + 256], part, out=out[: len(bounds[a : a + 256])])
+            few = np.flatnonzero((most >= least - 1e-4).ravel())
+            if not len(few):
+                continue
+            row, c = few // part.shape[1] + a, few % part.shape[1] + b
+            for z in range(0, len(row), 100_000):
+                r, j = row[z : z + 100_000], c[z : z + 100_000]
+                cos = np.round(np.einsum("ij,ij->i", q[r], base[j]), 10)
+                ok = (cos >= np.maximum(least, top.limit[r])) & (ids[r] != base_ids[j])
+                top.add(r[ok], base_ids[j[ok]], cos[ok])
+
+
+def _searched(jobs: list[tuple[str, int, str]], files: dict[str, list[str]], k: int, least: float | None, dtype: str):
+    """A task: blocks of queries, each against all blocks of its class, which are read one file at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for job in batch.column("job").to_pylist():
+                c, own, path = jobs[job]
+                ((ids, q),) = _blocks(path, c, dtype, own)
+                top = _Top(ids, k)
+                bounds = None if least is None else _bounded(q)
+                for file in files[c]:
+                    for base_ids, base in _blocks(file, c, dtype):
+                        if least is None:
+                            _all(q, ids, top, base, base_ids)
+                        else:
+                            _above(q, ids, top, base, base_ids, bounds, least)
+                top.merge()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[top.row]), pa.array(top.who), pa.array(top.cos)], ["i", "j", "cos"])
+
+    return run
+
+
+def top_k(vectors: DataFrame, k: int = 10, id_col: str = "global_id", vec_col: str = "features", class_col: str | None = None, least: float | None = None) -> DataFrame:
     """`i`, `j`, `cos` (10 decimals): the k most similar others of each vector within its class; ties go to the smaller id. A class of k vectors or fewer gives none.
 
-    Each block of queries meets each block of its class, keeps k, and blocks are merged; nothing is broadcast. Null or zero vectors take no part.
+    `least`: of these, only those of at least that cosine, which is cheaper. Blocks of vectors are written once to the shared folder; a task keeps the best of one block while
+    it reads all blocks of its class, so nothing is copied, shuffled or broadcast for the comparison. Null or zero vectors take no part.
     """
     v = vectors.select(F.col(id_col).cast("bigint").alias("i"), F.col(vec_col).alias("v"), (F.col(class_col) if class_col else F.lit("")).cast("string").alias("c"))
     v = materialize(v.where("i is not null and v is not null and size(v) > 0").where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("v", lambda x: x != 0)))
     sizes = materialize(v.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
-    rows = v.join(sizes.select("c", "blocks"), "c").withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    q = rows.select("i", "v", F.col("c").alias("qc"), F.col("own").alias("qb"), F.col("other").alias("bb"))
-    b = rows.select(F.col("i").alias("i"), F.col("v").alias("v"), F.col("c").alias("bc"), F.col("other").alias("bq"), F.col("own").alias("bo"))
-    hits = q.groupBy("qc", "qb", "bb").cogroup(b.groupBy("bc", "bq", "bo")).applyInPandas(_block(k), "i bigint, j bigint, cos double")
-    return hits.withColumn("_r", F.row_number().over(W.partitionBy("i").orderBy(F.desc("cos"), "j"))).where(F.col("_r") <= k).drop("_r")
+    rows = v.join(sizes.select("c", "blocks"), "c").select("c", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int").alias("own"), "i", "v")
+    dtype = "float32" if dict(v.dtypes)["v"] == "array<float>" else "float64"
+    packed = materialize(rows.groupBy("c", "own").applyInArrow(_packed(dtype), "c string, own int, dim int, ids binary, x binary"))
+    discard(v)
+    jobs = [tuple(r) for r in packed.select("c", "own", F.input_file_name()).collect()]  # a row a block
+    files: dict[str, list[str]] = {}
+    for c, _, path in jobs:
+        if path not in files.setdefault(c, []):
+            files[c].append(path)
+    tasks = v.sparkSession.range(0, len(jobs), 1, max(1, min(len(jobs), 10_000))).withColumnRenamed("id", "job")
+    return tasks.mapInArrow(_searched(jobs, files, k, least, dtype), "i bigint, j bigint, cos double")
 
 
 def similarity(cos: Column, metric: str = "squared") -> Column:
@@ -79,12 +175,19 @@ def relation_name(a: Column, b: Column) -> Column:
     return F.when(priority(a) <= priority(b), F.concat(a, F.lit("_"), b, F.lit("_similarity"))).otherwise(F.concat(b, F.lit("_"), a, F.lit("_similarity")))
 
 
-def candidates(vectors: DataFrame, types: DataFrame, k: int = 10, metric: str = "squared", symmetric: bool = False, class_col: str | None = None, id_col: str = "global_id", vec_col: str = "features") -> DataFrame:
-    """`source`, `target`, `edge_type`, `similarity` (6 decimals) of all neighbours, whatever thresholds and flags say.
+def least_cosine(thresholds: dict[tuple[str, str], float], metric: str = "squared") -> float | None:
+    """A cosine that every pair above the lowest threshold exceeds; None if there is none."""
+    low = min(thresholds.values(), default=NEVER)
+    least = (low if metric == "cosine" else 1 - math.sqrt(max(0.0, 1 - low) / 2)) - 1e-5
+    return least if least > -1 else None
+
+
+def candidates(vectors: DataFrame, types: DataFrame, k: int = 10, metric: str = "squared", symmetric: bool = False, class_col: str | None = None, id_col: str = "global_id", vec_col: str = "features", thresholds: dict[tuple[str, str], float] | None = None) -> DataFrame:
+    """`source`, `target`, `edge_type`, `similarity` (6 decimals) of all neighbours, whatever thresholds and flags say; if thresholds are given, of those at least that can exceed the lowest of them.
 
     A pair counts if the larger id is among the neighbours of the smaller one, or, if symmetric, either of the other. `types` has columns id, type.
     """
-    hits = top_k(vectors, k, id_col, vec_col, class_col)
+    hits = top_k(vectors, k, id_col, vec_col, class_col, least_cosine(thresholds, metric) if thresholds else None)
     pairs = hits.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "cos").distinct() if symmetric else hits.where("i < j")
     out = pairs.join(types.select(F.col("id").alias("i"), F.col("type").alias("ti")), "i").join(types.select(F.col("id").alias("j"), F.col("type").alias("tj")), "j")
     swap = priority(F.col("ti")) > priority(F.col("tj"))

@@ -429,7 +429,7 @@ def similarity_edges(spark, d):
     kinds = table(spark, d, "entity_manifest").select(F.col("entity_id").alias("authoritative_id"), "entity_type")
     kind = F.when(F.col("node_type") == "protein", "protein").when(F.col("entity_type").isin("drug", "exogenous_ligand", "ligand", "endogenous_ligand"), F.col("entity_type")).otherwise("molecule")
     types = v.join(kinds, "authoritative_id", "left").select(F.col("global_id").alias("id"), kind.alias("type"))
-    return V.similarity_edges(V.candidates(v, types, class_col="node_type"))
+    return V.similarity_edges(V.candidates(v, types, class_col="node_type", thresholds=V.THRESHOLDS))
 
 
 @query(

@@ -80,7 +80,7 @@ def fold_graph(fold: X.Fold, data: Prepared, vectors: DataFrame | None, config:
         nodes = materialize(edges.select(F.explode(F.array("source", "target")).alias("global_id")).distinct())
         types = data.ids.join(nodes, "global_id", "left_semi").select(F.col("global_id").alias("id"), F.col("entity_type").alias("type"), F.col("entity_type").isin(*MOLECULES).alias("molecule"))
         own = vectors.select("global_id", "features").join(types.select(F.col("id").alias("global_id"), "molecule"), "global_id")
-        found = V.candidates(own, types, config.top_k, class_col="molecule")
+        found = V.candidates(own, types, config.top_k, class_col="molecule", thresholds=config.thresholds or V.THRESHOLDS)
         edges = edges.unionByName(V.similarity_edges(found, config.thresholds, config.flags))
     cold = fold.cold_ids.join(data.ids.select("entity_id", "global_id"), "entity_id").select(F.col("global_id").alias("id"))
     return G.minmax(G.without_leaks(edges, cold, RELATIONS))

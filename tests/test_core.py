@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,6 +265,25 @@ def test_similarity_formula_and_order(spark):
     assert V.similarity_edges(got).count() == 1
 
 
+def test_neighbours_of_many_blocks_equal_brute_force_without_a_shuffle_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    m = rng.standard_normal((150, 12)).astype(np.float32)
+    m[100:140] = m[:40] + rng.standard_normal((40, 12)).astype(np.float32) * 0.3
+    m[140:] = m[0]  # ties
+    v = spark.createDataFrame([(i, "a" if i % 3 else "b", [float(z) for z in x]) for i, x in enumerate(m)], "global_id bigint, kind string, features array<float>")
+    x = m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True)
+    want = set()
+    for i in range(150):
+        others = sorted((-round(float(x[i] @ x[j]), 10), j) for j in range(150) if j != i and (j % 3 == 0) == (i % 3 == 0))[:4]
+        want |= {(i, j, round(-c, 6)) for c, j in others}
+    got = V.top_k(v, 4, class_col="kind")
+    assert {(r.i, r.j, round(r.cos, 6)) for r in got.collect()} == want
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    near = V.top_k(v, 4, class_col="kind", least=0.8).collect()
+    assert {(r.i, r.j, round(r.cos, 6)) for r in near} == {w for w in want if w[2] >= 0.8} and len(near) < len(want)
+
+
 def test_only_pairs_with_two_vectors_meet_the_vectors_and_these_stay_floats(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("c", [0.0, 0.0])], "id string, features array<float>")
     pairs = spark.createDataFrame([("a", "b", 1), ("a", "b", 2), ("a", "x", 3), ("x", "b", 4), ("a", "c", 5)], "source string, target string, n int")
